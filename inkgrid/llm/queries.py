@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality_model, quality_rules, url_rules
+from . import bpe, line_dedup, mixing, quality_model, quality_rules, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, _table(spark, sf_dir, "documents"))
 
@@ -37,11 +41,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
+    "op6_line_dedup": op6_line_dedup,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE = {
     "op4_url_filter": url_rules.judge_sql(),
+    "op6_line_dedup": line_dedup.digest_sql(),
     "op10_mixing": mixing.plan_sql(),
 }
