@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, quality_model, quality_rules, url_rules
+from . import bpe, line_dedup, mixing, quality_model, quality_rules, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(spark, _table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
 }
@@ -49,5 +54,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE = {
     "op4_url_filter": url_rules.judge_sql(),
     "op6_line_dedup": line_dedup.digest_sql(),
+    "op8_top_k": topk.top_k_sql(),
     "op10_mixing": mixing.plan_sql(),
 }
