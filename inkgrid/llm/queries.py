@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, mixing, quality_model, quality_rules, topk, url_rules
+from . import bpe, line_dedup, mixing, near_dedup, quality_model, quality_rules, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(_table(spark, sf_dir, "pages"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_classifier": op2_quality_classifier,
     "op3_quality_rules": op3_quality_rules,
     "op4_url_filter": op4_url_filter,
+    "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
     "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE = {
     "op4_url_filter": url_rules.judge_sql(),
+    "op5_near_dedup": near_dedup.classes_sql(),
     "op6_line_dedup": line_dedup.digest_sql(),
     "op8_top_k": topk.top_k_sql(),
     "op10_mixing": mixing.plan_sql(),
