@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, mixing, near_dedup, quality_model, quality_rules, topk, url_rules
+from . import bpe, html_text, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_tree, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_url_filter": op4_url_filter,
     "op5_near_dedup": op5_near_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_lm_score": op7_lm_score,
     "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
