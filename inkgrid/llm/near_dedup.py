@@ -6,9 +6,9 @@ Band i takes one register of every function, so its rows are independent.  Docum
 start.  Candidates are classes that share bands; registers give a Jaccard estimate, corrected for chance collisions; the full
 sets confirm.  Confirmed links become components.
 
-Groups are never expanded: in buckets of more than SMALL classes, members meet one hub, another in every band.  Where such a
-bucket still spans several components afterwards, compressed registers of members of different components are compared block
-by block, which finds the remaining links.
+Groups are never expanded: in buckets of more than SMALL classes, members meet one hub, another in most bands.  Where such a
+bucket still spans several components afterwards, its members outside the main component are compared with all members, block by
+block, which finds the remaining links.
 
 Defined results: a null or empty text has an empty set, no links and its own component; shorter texts than five words are one
 shingle; rows of equal id are one document; a row with a null id has no links, a null component and is kept; an empty table
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import written
-from ._text import U64, flat, mix, runs, shingles, spans_hash, words
+from ._text import U64, flat, mix, runs, settled, shingles, spans_hash, words
 from .components import components
 
 ROWS, BANDS = 5, 51
@@ -36,6 +36,8 @@ SMALL = 32
 SHARED = 2
 #: Estimates this far below the threshold are confirmed on full sets too: over three standard errors of 255 registers.
 MARGIN = 0.09
+#: Large buckets choose their hubs in so many orders, so that classes which share several of them meet few hubs.
+FAMILIES = 8
 #: Classes of a block when a large bucket is compared block by block.
 BLOCK = 1024
 #: Fixed value: the constant of the expected-collision formula published for HyperMinHash.
@@ -110,6 +112,7 @@ def sketch_column(text: Column) -> Column:
     """struct(n, digest, regs): size of the set, 128 bits that equal sets share, and the registers."""
 
     @F.arrow_udf("struct<n: bigint, digest: binary, regs: binary>")
+    @settled
     def sketch(texts: pa.Array) -> pa.Array:
         size, digest, regs = [], [], []
         for doc, key, n in document_sets(texts):
@@ -133,15 +136,20 @@ def _regs(array: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(array.to_pylist()), np.uint16).reshape(-1, ROWS * BANDS)
 
 
+@settled
 def _bands_of(regs: pa.Array) -> pa.Array:
-    h = band_hashes(_regs(regs)).view(np.int64)
+    every = _regs(regs)
+    h = np.concatenate([np.zeros((0, BANDS), U64), *(band_hashes(every[k : k + 1000]) for k in range(0, len(every), 1000))]).view(np.int64)
     return pa.ListArray.from_arrays(pa.array(np.arange(0, h.size + 1, BANDS, dtype=np.int32)), pa.array(h.reshape(-1)))
 
 
+@settled
 def _estimated_of(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-    return pa.array(estimate(_regs(a), _regs(b), n_a.to_numpy(), n_b.to_numpy()), pa.float64())
+    x, y, n, m = _regs(a), _regs(b), n_a.to_numpy(), n_b.to_numpy()
+    return pa.array(np.concatenate([np.zeros(0), *(estimate(x[k : k + 1000], y[k : k + 1000], n[k : k + 1000], m[k : k + 1000]) for k in range(0, len(x), 1000))]), pa.float64())
 
 
+@settled
 def _set_of(texts: pa.Array) -> pa.Array:
     keys, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
     for doc, key, n in document_sets(texts):
@@ -150,6 +158,7 @@ def _set_of(texts: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(keys)))
 
 
+@settled
 def _common_of(a: pa.Array, b: pa.Array) -> pa.Array:
     """Sizes of the intersections of pairs of distinct sets."""
     out = []
@@ -160,20 +169,50 @@ def _common_of(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.int64())
 
 
-def _blocks(table: pa.Table, least: float) -> pa.Table:
-    """Pairs of two blocks of a bucket whose members are of different components and look similar enough."""
+def _outside(large: DataFrame, links: _Links) -> DataFrame:
+    """Links (a, b) between components of the clusters of large (rep, comp, first: any class of the same cluster).
+
+    Members outside a cluster's main component are compared with all its members, in blocks of both: (cluster, part of the
+    outside, part of the cluster) is a group of bounded size.  Registers that look alike enough are confirmed on full sets there.
+    """
+    cluster = components(large.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
+    member = written(large.select("rep", "comp").distinct().join(cluster, "rep"), "members")
+    size = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    main = size.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    parts = main.select("cluster", "main", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("parts"), F.greatest(F.floor((F.col("n") - F.col("most") - 1) / BLOCK) + 1, F.lit(0)).cast("int").alias("outer"))
+    sets = links.sets(links.reps.join(member.select("rep"), "rep", "left_semi"))
+    row = member.join(parts.filter(F.col("outer") > 0), "cluster").join(links.reps.select("rep", "n", "regs"), "rep").join(sets, "rep")
+    row = row.withColumn("h", F.xxhash64("rep"))
+    every = row.select("cluster", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.pmod("h", "parts").cast("int").alias("j"), F.lit(False).alias("asks"), "rep", "comp", "n", "regs", "s")
+    outer = row.filter(F.col("comp") != F.col("main")).select("cluster", F.pmod("h", "outer").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "rep", "comp", "n", "regs", "s")
+    percent = links.percent
+    return written(every.unionByName(outer).groupBy("cluster", "i", "j").applyInArrow(lambda t: _confirmed(t, percent), "a bigint, b bigint"), "outside")
+
+
+def _confirmed(table: pa.Table, percent: int) -> pa.Table:
+    """Links of the asking rows with the others, of other components, of one block."""
+    asks = table["asks"].to_numpy()
     rep, comp, n = (table[c].to_numpy() for c in ("rep", "comp", "n"))
     regs = _regs(table["regs"])
-    out = []
-    kinds, size = np.unique(comp, return_counts=True)
-    main = kinds[size.argmax()]
-    for k in np.flatnonzero(comp != main).tolist():
-        other = np.flatnonzero((comp != comp[k]) & ((comp == main) | (np.arange(len(comp)) > k)))
-        if len(other):
-            hit = other[estimate(regs[other], regs[k][None], n[other], n[k]) >= least]
-            out.append(np.stack([np.minimum(rep[hit], rep[k]), np.maximum(rep[hit], rep[k])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+    s = table["s"].combine_chunks()
+    s = pa.concat_arrays(s.chunks) if isinstance(s, pa.ChunkedArray) else s
+    values, at = np.asarray(s.flatten()), np.r_[0, np.cumsum(n)]
+    rest = np.flatnonzero(~asks)
+    a, b = [], []
+    for k in np.flatnonzero(asks).tolist():
+        near = rest[(comp[rest] != comp[k]) & (100 * np.minimum(n[rest], n[k]) >= percent * np.maximum(n[rest], n[k]))]
+        if not len(near):
+            continue
+        near = near[estimate(regs[near], regs[k][None], n[near], n[k]) >= percent / 100 - MARGIN]
+        own = np.sort(values[at[k] : at[k + 1]])
+        for m in near.tolist():
+            other = values[at[m] : at[m + 1]]
+            spot = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            common = int((own[spot] == other).sum())
+            if 100 * common >= percent * (n[k] + n[m] - common):
+                a.append(min(rep[k], rep[m]))
+                b.append(max(rep[k], rep[m]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 class _Links:
@@ -182,7 +221,7 @@ class _Links:
     def __init__(self, docs: DataFrame, reps: DataFrame, percent: int) -> None:
         self.docs, self.reps, self.percent = docs, reps, percent
         self.least = percent / 100 - MARGIN
-        self.confirmed: DataFrame | None = None
+        self.labels: DataFrame | None = None
 
     def estimated(self, pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) whose registers allow a link, with the estimate."""
@@ -194,13 +233,24 @@ class _Links:
         return joined.withColumn("e", F.arrow_udf(_estimated_of, "double")("ra", "rb", "na", "nb")).filter(F.col("e") >= self.least).select("a", "b", "e", "na", "nb")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> None:
-        """Adds the pairs (a, b) with 100 * intersection >= percent * union to the confirmed links."""
+        """Joins the components of pairs (a, b) with 100 * intersection >= percent * union."""
         x = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
         y = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
         common = F.arrow_udf(_common_of, "bigint")("sa", "sb")
         found = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("c"))
-        found = written(found.filter(100 * F.col("c") >= self.percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links")
-        self.confirmed = found if self.confirmed is None else self.confirmed.unionByName(found)
+        self.merge(written(found.filter(100 * F.col("c") >= self.percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links"))
+
+    def named(self, pairs: DataFrame) -> DataFrame:
+        """pairs with the components ca, cb of their ends, where these differ."""
+        x = self.labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        y = self.labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        return pairs.join(x, "a").join(y, "b").filter(F.col("ca") != F.col("cb"))
+
+    def merge(self, links: DataFrame) -> None:
+        """Joins the components of linked nodes; only components enter the contraction, not their members."""
+        between = self.named(links).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+        above = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
+        self.labels = written(self.labels.join(above, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(rep, s): the full shingle sets of the classes that take part in pairs."""
@@ -209,16 +259,6 @@ class _Links:
         # of rows with equal ids, the one whose set is the class's
         return written(found.join(nodes.select("rep", "n"), "rep").filter(F.size("s") == F.col("n")).select("rep", "s").dropDuplicates(["rep"]), "sets")
 
-    def labels(self) -> DataFrame:
-        return written(components(self.confirmed), "labels")
-
-
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends are not known to be of one component."""
-    x = labels.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    y = labels.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    return pairs.join(x, "a", "left").join(y, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept: the row's id is its component's smallest."""
@@ -232,8 +272,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     one = reps.groupBy("rep").agg(F.max_by(F.struct("digest", "n", "regs"), F.struct("n", "digest")).alias("m"), F.count("*").alias("sets"))
     links = _Links(rows, written(one.select("rep", "m.digest", "m.n", "m.regs"), "first"), percent)
 
+    twins = written(member.groupBy("doc").agg(F.collect_set("rep").alias("r")).filter(F.size("r") > 1).select(F.col("doc").alias("a"), F.explode("r").alias("b")), "twins")
+
     band = links.reps.select("rep", F.explode(F.arrow_udf(_bands_of, "array<bigint>")("regs")).alias("h"))
-    hub = F.min(F.struct(F.xxhash64("h", "rep").alias("o"), F.col("rep").alias("rep")))["rep"]
+    hub = F.min(F.struct(F.xxhash64(F.pmod("h", F.lit(FAMILIES)), "rep").alias("o"), F.col("rep").alias("rep")))["rep"]
     shared = band.groupBy("h").agg(F.count("*").alias("m"), hub.alias("hub")).filter(F.col("m") > 1)
     bucket = written(band.join(shared, "h"), "buckets")
     near = bucket.filter(F.col("m") <= SMALL).groupBy("h").agg(F.array_sort(F.collect_list("rep")).alias("r"))
@@ -244,36 +286,32 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
 
     ends = candidates.select(F.col("a").alias("rep")).union(candidates.select("b")).distinct()
     sets = links.sets(links.reps.join(ends, "rep", "left_semi"))
+    crowded = bucket.filter(F.col("m") > SMALL)
+    links.labels = written(ends.union(crowded.select("rep")).union(twins.select("a")).union(twins.select("b")).distinct().select(F.col("rep").alias("node"), F.col("rep").alias("component")), "labels")
     # first every class's most similar partner, which joins most groups; then whatever still lies between components
-    both = candidates.select(F.col("a").alias("x"), F.col("b").alias("y"), "e").union(candidates.select("b", "a", "e"))
-    best = both.groupBy("x").agg(F.max_by("y", F.struct("e", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    links.confirm(best, sets)
-    labels = links.labels()
-    links.confirm(_across(candidates, labels), sets)
-    labels = links.labels()
-
-    large = bucket.filter(F.col("m") > SMALL).join(labels, F.col("rep") == F.col("node"), "left").select("h", "m", "rep", F.coalesce("component", "rep").alias("comp"))
-    mixed = large.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter(F.col("x") < F.col("y")).select("h")
-    large = written(large.join(mixed, "h", "left_semi"), "large")
+    links.confirm(_best(candidates), sets)
+    links.confirm(links.named(candidates), sets)
+
+    # crowded buckets that still span components: those that share classes are one cluster
+    large = crowded.join(links.labels, F.col("rep") == F.col("node")).select("h", "rep", F.col("component").alias("comp"))
+    mixed = large.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("first")).filter(F.col("x") < F.col("y")).select("h", "first")
+    large = written(large.join(mixed, "h").select("rep", "comp", "first").distinct(), "large")
     if not large.isEmpty():
-        parts = F.floor((F.col("m") - 1) / BLOCK).cast("int") + 1
-        own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-        dealt = large.withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        dealt = dealt.join(links.reps.select("rep", "n", "regs"), "rep").select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "comp", "n", "regs")
-        least = links.least
-        rest = written(dealt.groupBy("h", "i", "j").applyInArrow(lambda t: _blocks(t, least), "a bigint, b bigint").distinct(), "rest")
-        if not rest.isEmpty():
-            ends = rest.select(F.col("a").alias("rep")).union(rest.select("b")).distinct()
-            links.confirm(rest, links.sets(links.reps.join(ends, "rep", "left_semi")))
-
-    twins = member.groupBy("doc").agg(F.collect_set("rep").alias("r")).filter(F.size("r") > 1).select(F.col("doc").alias("a"), F.explode("r").alias("b"))
-    labels = written(components(links.confirmed.unionByName(twins)), "labels")
-    named = member.join(labels, F.col("rep") == F.col("node"), "left").select("doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(F.min("component").alias("component"))
+        links.merge(_outside(large, links))
+
+    links.merge(twins)
+    named = member.join(links.labels, F.col("rep") == F.col("node"), "left").select("doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(F.min("component").alias("component"))
     out = sketched.select("doc", "n").join(named, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
+def _best(pairs: DataFrame) -> DataFrame:
+    """The pair of the highest estimate of every end, from pairs (a, b, e)."""
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "e").union(pairs.select("b", "a", "e"))
+    return both.groupBy("x").agg(F.max_by("y", F.struct("e", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """The rows of docs, all columns, that stand for their component: the one with its smallest id (each row of that id)."""
     away = classes(docs, id_col, text_col, percent).filter(~F.col("kept")).select(F.col("doc_id").alias(id_col)).distinct()
