@@ -36,9 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, lang, source, n_tokens, token_ids, decoded_sha256) of every row; the last from decoding the ids."""
-    coded = bpe.encode_documents(spark, docs.select("doc_id", "lang", "source", "text"))
-    return coded.select("doc_id", "lang", "source", F.size("token_ids").cast("bigint").alias("n_tokens"), "token_ids", F.sha2(bpe.decode_column(spark, F.col("token_ids")).cast("binary"), 256).alias("decoded_sha256"))
+    """(doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256, token_ids) of every row."""
+    return docs.select("doc_id", "lang", "source", bpe.coded_column(spark, F.col("text")).alias("_c")).select("doc_id", "lang", "source", "_c.*")
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near_duplicates), ("mixing sources", mix), ("BPE", tokens)]

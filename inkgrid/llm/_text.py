@@ -6,7 +6,9 @@ operator's contract says, so splitting bytes equals splitting code points.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def settled(f: Callable) -> Callable:
+    """f, which gives freed memory back to the system after each call: idle workers of a pool keep what they held otherwise."""
+
+    @functools.wraps(f)
+    def call(*args):
+        try:
+            return f(*args)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if _trim():
+                _trim()(0)
+
+    return call
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (a bijection), elementwise."""
     x = x.astype(U64, copy=True)

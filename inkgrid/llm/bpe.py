@@ -20,12 +20,12 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._text import flat, ragged
+from ._text import flat, ragged, settled
 
 #: Fixed value: the word pattern of byte-level BPE as published for this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept between batches of a worker; the table starts anew when it is full.
-TABLE = 300_000
+TABLE = 150_000
 #: Texts up to here are cut by the pattern; others by the library's splitter, whose Unicode tables may be of another age.
 PLAIN = regex.compile("[^\x00-ԯ]")
 NONE = np.int64(1 << 40)
@@ -212,7 +212,7 @@ def _spec(spark: SparkSession, path: str | None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def _chunks(texts: pa.Array, most: int = 2_000_000):
+def _chunks(texts: pa.Array, most: int = 500_000):
     """Lists of texts of about `most` code points."""
     part: list[str] = []
     n = 0
@@ -232,6 +232,7 @@ def encode_column(spark: SparkSession, text: Column | str, vocabulary: str | Non
     spec = _spec(spark, vocabulary)
 
     @F.arrow_udf("array<int>")
+    @settled
     def encode(texts: pa.Array) -> pa.Array:
         bpe, ids, ends = _bpe(spec.value), [], [np.zeros(1, np.int64)]
         for part in _chunks(texts):
@@ -248,6 +249,7 @@ def decode_column(spark: SparkSession, ids: Column | str, vocabulary: str | None
     spec = _spec(spark, vocabulary)
 
     @F.arrow_udf("string")
+    @settled
     def decode(rows: pa.Array) -> pa.Array:
         if rows.null_count:
             rows = pa.array([x or [] for x in rows.to_pylist()], pa.list_(pa.int32()))
@@ -263,22 +265,35 @@ def encode_documents(spark: SparkSession, docs: DataFrame, text_col: str = "text
     return docs.withColumn(out_col, encode_column(spark, F.col(text_col), vocabulary))
 
 
-def round_trip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256): digests of the encoder's ids and of what the decoder makes of them.
-
-    One narrow pass over (id, text); no shuffle.
-    """
+def coded_column(spark: SparkSession, text: Column | str, vocabulary: str | None = None, with_ids: bool = True) -> Column:
+    """struct(n_tokens, ids_sha256, decoded_sha256[, token_ids]): digests of the encoder's ids and of what the decoder makes of them."""
     spec = _spec(spark, vocabulary)
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string>")
-    def digests(texts: pa.Array) -> pa.Array:
-        bpe, count, first, second = _bpe(spec.value), [], [], []
+    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", token_ids: array<int>>" if with_ids else ">"))
+    @settled
+    def coded(texts: pa.Array) -> pa.Array:
+        bpe, count, first, second, kept = _bpe(spec.value), [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
         for part in _chunks(texts):
             ids, ends = bpe.encode(part)
             little = ids.astype("<u4").tobytes()
             count.append(np.diff(ends))
             first += [hashlib.sha256(little[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             second += [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode(ids, ends)]
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(count) if count else np.zeros(0, np.int64), pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())], ["n_tokens", "ids_sha256", "decoded_sha256"])
+            if with_ids:
+                kept.append(ids.astype(np.int32))
+        n = np.concatenate(count)
+        columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
+        if with_ids:
+            columns["token_ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(kept)))
+        return pa.StructArray.from_arrays(list(columns.values()), list(columns))
+
+    return coded(text)
 
-    return docs.select(F.col(id_col).alias("doc_id"), digests(F.col(text_col)).alias("_d")).select("doc_id", "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")
+
+def round_trip(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row.
+
+    One narrow pass over (id, text); no shuffle.
+    """
+    coded = coded_column(spark, F.col(text_col), vocabulary, with_ids=False)
+    return docs.select(F.col(id_col).alias("doc_id"), coded.alias("_d")).select("doc_id", "_d.n_tokens", "_d.ids_sha256", "_d.decoded_sha256")

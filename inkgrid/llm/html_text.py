@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._text import settled
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose text is never content.
@@ -193,6 +195,7 @@ def text_column(html: Column | str) -> Column:
     """string: the main text of a page's html."""
 
     @F.arrow_udf("string")
+    @settled
     def texts(pages: pa.Array) -> pa.Array:
         return pa.array([main_text(p.as_py()) for p in pages], pa.string())
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import written
-from ._text import U64, flat, mix, runs, spans_hash, words
+from ._text import U64, flat, mix, runs, settled, spans_hash, words
 
 #: Keys of a shard on average; the number of shards follows the number of repeated lines.
 SHARD_KEYS = 4096
@@ -123,6 +123,7 @@ def keys_column(text: Column, least: int) -> Column:
     """array<bigint>: the distinct key hashes of a text's lines."""
 
     @F.arrow_udf("array<bigint>")
+    @settled
     def keys(texts: pa.Array) -> pa.Array:
         raw_all, off = flat(texts)
         values, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
@@ -202,6 +203,7 @@ def rebuilt_column(text: Column, drop: Column, least: int) -> Column:
     """struct(n_lines, n_dropped, text) of a text without the lines whose key hash is in drop."""
 
     @F.arrow_udf("struct<n_lines: bigint, n_dropped: bigint, text: string>")
+    @settled
     def rebuilt(texts: pa.Array, drops: pa.Array) -> pa.Array:
         raw_all, off = flat(texts)
         has = drops.is_valid().to_numpy(zero_copy_only=False)

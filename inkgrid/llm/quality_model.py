@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._tables import bucket
+from ._text import settled
 
 #: Bytes compressed at once: short enough for a dictionary to matter in every part of a long text.
 BLOCK = 512
@@ -172,6 +173,7 @@ def score_column(spark: SparkSession, model: QualityModel, text: Column | str) -
     cache: list[QualityModel] = []
 
     @F.arrow_udf("double")
+    @settled
     def score(texts: pa.Array) -> pa.Array:
         if not cache:
             cache.append(pickle.loads(data.value))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import written
-from ._text import U64, WHITE, flat, mix, runs, shingles, spans_hash, words
+from ._text import U64, WHITE, flat, mix, runs, settled, shingles, spans_hash, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_marks", "n_bare"]
 SYMBOLS = np.zeros(256, dtype=bool)
@@ -94,6 +94,7 @@ def counts_column(text: Column | str) -> Column:
     """struct of the counts of a text."""
 
     @F.arrow_udf("struct<" + ", ".join(f"{k}: bigint" for k in COUNTS) + ">")
+    @settled
     def counts(texts: pa.Array) -> pa.Array:
         found = count_texts(texts)
         return pa.StructArray.from_arrays([pa.array(found[k], pa.int64()) for k in COUNTS], COUNTS)
