@@ -1,7 +1,8 @@
 """Geometry of boxes, lines and paths as native column expressions.
 
 The y axis points up.  A box or line is four double columns; `Box.of(prefix)` names them.  Nothing here is a Python UDF, so
-every expression stays inside generated code and its inputs are pruned at the scan.  A null coordinate gives a null result.
+every expression stays inside generated code and its inputs are pruned at the scan.  Sources give every box four coordinates;
+the line of a node that has none is four nulls, and what is derived from it is null.
 """
 
 from __future__ import annotations

@@ -118,7 +118,7 @@ def text_code(text: Column) -> Column:
 
 def bounds_text(sides: list[Column]) -> Column:
     """(a,b,c,d) with two decimals; -1 for an open side."""
-    shown = [F.coalesce(F.format_string("%.2f", s), F.lit("-1")) for s in sides]
+    shown = [F.when(s.isNull(), "-1").otherwise(F.format_string("%.2f", s)) for s in sides]
     return F.concat(F.lit("("), F.concat_ws(",", *shown), F.lit(")"))
 
 

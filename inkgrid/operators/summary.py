@@ -45,7 +45,11 @@ def schedules_document(rows: DataFrame, matches: DataFrame, by: Sequence[str] =
     filled = rows.join(found, keys, "left")
     pages = filled.groupBy(*by, "schedule", "page").agg(F.array_sort(F.collect_list(F.struct("row", "cells", "elems"))).alias("rows"))
     named = pages.groupBy(*by, "schedule").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("page").cast("string"), "rows")))).alias("pages"))
-    return named.groupBy(*by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("schedule", "pages"))))).alias("summary"))
+    return named.groupBy(*by).agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("schedule", "pages")), _by_schedule))).alias("summary"))
+
+
+def _by_schedule(a: Column, b: Column) -> Column:
+    return F.when(a["schedule"] < b["schedule"], -1).when(a["schedule"] > b["schedule"], 1).otherwise(0)
 
 
 def empty_summary() -> Column:
