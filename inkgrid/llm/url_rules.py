@@ -79,13 +79,14 @@ def annotate(pages: DataFrame, rules: Iterable[UrlRule] = RULES, url_col: str =
             raise ValueError(f"not a rule: {r}")
     longest = max((len(r.path) for r in rules), default=0)
     host, path = url_parts(F.col(url_col))
-    rows = pages.drop("host", "path", "rule", "verdict") if url_col not in ("host", "path", "rule", "verdict") else pages
-    rows = rows.withColumns({"host": host, "path": path})
+    rows = pages.select(F.struct("*").alias("_row"), host.alias("host"), path.alias("path"))
     key = F.substring("path", 1, longest)
     keys = rows.filter(F.col("host") != "").select(F.col("host").alias("_h"), key.alias("_p")).distinct()
     found = _decide(keys, rules)
     joined = rows.withColumns({"_h0": F.when(F.col("host") != "", F.col("host")), "_p0": key}).join(found, (F.col("_h0") == F.col("_h")) & (F.col("_p0") == F.col("_p")), "left")
-    return joined.withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop("_h0", "_p0", "_h", "_p", "_verdict")
+    added = ("host", "path", "rule", "verdict")
+    kept = [F.col("_row")[c].alias(c) for c in pages.columns if c not in added]
+    return joined.withColumn("verdict", F.coalesce("_verdict", F.lit(default))).select(*kept, *added)
 
 
 def judge(pages: DataFrame, rules: Iterable[UrlRule] = RULES, id_col: str = "page_id", url_col: str = "url", default: str = "allow") -> DataFrame:
