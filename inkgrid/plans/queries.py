@@ -15,7 +15,7 @@ from ..functions import geometry as g
 from ..functions import predicates as p
 from ..functions import texts as t
 from ..functions.geometry import Box
-from ..operators import boxes, graph, rules, shapes, spatial, summary, tables, words
+from ..operators import boxes, composites, graph, rules, shapes, spatial, summary, tables, words
 from .views import base, glyphs, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -551,3 +551,80 @@ def classification_histogram(spark: SparkSession, sf: str) -> DataFrame:
     line = Box.of()
     v = view(spark, sf, "v_segments").select(F.round(g.slope(line), 1).alias("slope"), F.round(g.length(line), 1).alias("length"))
     return v.unpivot([], ["slope", "length"], "type", "value").groupBy("type", (F.col("value") + F.lit(0.0)).alias("value")).agg(F.count("*").alias("n"))
+
+
+@query(
+    """, r AS (SELECT page, id, x0, x1, CASE WHEN max(x1) OVER w IS NULL OR x0 - max(x1) OVER w > 10 THEN 1 ELSE 0 END AS fresh FROM v_boxes WINDOW w AS (PARTITION BY page ORDER BY x0, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY page ORDER BY x0, id ROWS UNBOUNDED PRECEDING) AS run FROM r) SELECT page, run, count(*) AS n, min(x0) AS x0, max(x1) AS x1 FROM g GROUP BY page, run""",
+    "v_boxes",
+)
+def text_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return composites.text_runs(view(spark, sf, "v_boxes").select("page", "id", "x0", "x1"))
+
+
+LABEL_BOXES = ", placed AS (SELECT l.page, l.id, b.x0 + 1 AS x0, b.y0 + 1 AS y0, b.x0 + 3 AS x1, b.y0 + 3 AS y1, trim(l.text) AS text FROM v_labels l JOIN v_boxes b USING (id))"
+
+
+def _placed(spark: SparkSession, sf: str) -> DataFrame:
+    v = view(spark, sf, "v_boxes").select("id", F.col("x0").alias("bx"), F.col("y0").alias("by"))
+    return view(spark, sf, "v_labels").join(v, "id").select("page", "id", (F.col("bx") + 1).alias("x0"), (F.col("by") + 1).alias("y0"), (F.col("bx") + 3).alias("x1"), (F.col("by") + 3).alias("y1"), F.trim("text").alias("text"))
+
+
+@query(
+    LABEL_BOXES + """, inside AS (SELECT o.page, o.id, string_agg(i.text, '' ORDER BY i.x0, i.id) AS text FROM v_boxes o JOIN placed i ON o.page = i.page AND o.x0 <= i.x0 AND o.y0 <= i.y0 AND o.x1 >= i.x1 AND o.y1 >= i.y1
+      WHERE (o.x1 - o.x0 - 100) * (o.x1 - o.x0 - 100) + (o.y1 - o.y0 - 48) * (o.y1 - o.y0 - 48) <= 2500 GROUP BY o.page, o.id)
+    SELECT page, id, text FROM inside WHERE regexp_full_match(text, '[A-Za-z][0-9]{2}')""",
+    "v_boxes", "v_labels",
+)
+def window_keys(spark: SparkSession, sf: str) -> DataFrame:
+    frames = view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1")
+    return composites.keyed_symbols(frames, _placed(spark, sf), (100.0, 48.0), 50.0)
+
+
+@query(
+    """, l AS (SELECT DISTINCT page, CAST(floor(y0) AS BIGINT) AS a, CAST(floor(y1) AS BIGINT) AS b FROM v_boxes),
+    near AS (SELECT x.page, x.a, x.b, y.a AS c, y.b AS d FROM l x JOIN l y ON x.page = y.page AND abs(x.a - y.a) <= 1 AND abs(x.b - y.b) <= 1),
+    reached AS (SELECT page, a, b, a AS c, b AS d FROM l UNION SELECT r.page, r.a, r.b, n.c, n.d FROM reached r JOIN near n ON r.page = n.page AND r.c = n.a AND r.d = n.b),
+    named AS (SELECT page, a, b, min(page * (1::BIGINT << 40) + (c + (1 << 19)) * (1 << 20) + d + (1 << 19)) AS component FROM reached GROUP BY ALL)
+    SELECT v.page, component, count(*) AS n FROM v_boxes v JOIN named m ON v.page = m.page AND floor(v.y0) = m.a AND floor(v.y1) = m.b GROUP BY v.page, component""",
+    "v_boxes",
+)
+def aligned_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return composites.aligned_groups(view(spark, sf, "v_boxes").select("page", "id", "y0", "y1"))
+
+
+@query(
+    """, met AS (SELECT a.page, a.id AS a_id, b.id AS b_id, a.x0 AS ax0, a.y0 AS ay0, a.x1 AS ax1, a.y1 AS ay1, b.x0 AS bx0, b.y0 AS by0, b.x1 AS bx1, b.y1 AS by1,
+      (a.x0 - a.x1) * (b.y0 - b.y1) - (b.x0 - b.x1) * (a.y0 - a.y1) AS k, a.x0 * a.y1 - a.y0 * a.x1 AS da, b.x0 * b.y1 - b.y0 * b.x1 AS db
+      FROM v_segments a JOIN v_segments b ON a.page = b.page AND a.id < b.id),
+    q AS (SELECT page, a_id, b_id, ax0, ay0, ax1, ay1, bx0, by0, bx1, by1, (da * (bx0 - bx1) - (ax0 - ax1) * db) / k AS px, (da * (by0 - by1) - (ay0 - ay1) * db) / k AS py FROM met WHERE k <> 0),
+    p AS (SELECT page, a_id, b_id, round(px, 6) + 0.0 AS px, round(py, 6) + 0.0 AS py FROM q WHERE px BETWEEN least(ax0, ax1) - 0.1 AND greatest(ax0, ax1) + 0.1 AND py BETWEEN least(ay0, ay1) - 0.1 AND greatest(ay0, ay1) + 0.1
+      AND px BETWEEN least(bx0, bx1) - 0.1 AND greatest(bx0, bx1) + 0.1 AND py BETWEEN least(by0, by1) - 0.1 AND greatest(by0, by1) + 0.1)
+    SELECT page, id, px, py, min(partner) AS partner FROM (SELECT page, a_id AS id, b_id AS partner, px, py FROM p UNION ALL SELECT page, b_id, a_id, px, py FROM p) GROUP BY page, id, px, py""",
+    "v_segments",
+)
+def first_crossings(spark: SparkSession, sf: str) -> DataFrame:
+    points = spatial.crossings(view(spark, sf, "v_segments")).withColumns({"px": r6(F.col("px")), "py": r6(F.col("py"))})
+    return spatial.first_crossings(points)
+
+
+@query("SELECT page, id, x0, y0, x1, y1 FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS k FROM v_boxes) WHERE k = 1", "v_boxes")
+def largest_box(spark: SparkSession, sf: str) -> DataFrame:
+    return boxes.largest_box(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), ["page"])
+
+
+@query("SELECT page, id, k AS nth FROM (SELECT page, id, row_number() OVER (PARTITION BY page ORDER BY x0, y1 DESC, x1, y0 DESC, id) AS k FROM v_boxes)", "v_boxes")
+def reading_order(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("page").orderBy(*composites.reading_order(), "id")
+    return view(spark, sf, "v_boxes").select("page", "id", F.row_number().over(order).cast("bigint").alias("nth"))
+
+
+@query(
+    "SELECT id, text, lower(trim(text)) AS key_text, regexp_full_match(trim(text), '[A-Za-z][0-9]{2}') AS window_key, length(text) AS n_letters FROM v_labels",
+    "v_labels",
+)
+def label_scalars(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    return view(spark, sf, "v_labels").select("id", "text", t.normal_key(text).alias("key_text"), t.is_window_key(F.trim(text)).alias("window_key"), F.length(text).cast("bigint").alias("n_letters"))
