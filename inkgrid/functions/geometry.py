@@ -180,12 +180,18 @@ def near_line(line: Box, x: Column, y: Column) -> Column:
     return x.between(x_low - NEAR_LINE, x_high + NEAR_LINE) & y.between(y_low - NEAR_LINE, y_high + NEAR_LINE)
 
 
-def intersection(a: Box, b: Box) -> Column:
-    """struct(x, y) where two lines meet near both of them; null for parallel lines or none."""
+def crossing_point(a: Box, b: Box) -> tuple[Column, Column, Column]:
+    """(cross product of the directions, x, y) of two lines drawn on without end; x and y mean nothing where the first is 0."""
     adx, ady, bdx, bdy = a.x0 - a.x1, a.y0 - a.y1, b.x0 - b.x1, b.y0 - b.y1
     cross = determinant(adx, bdx, ady, bdy)
     da, db = determinant(a.x0, a.y0, a.x1, a.y1), determinant(b.x0, b.y0, b.x1, b.y1)
-    x, y = determinant(da, db, adx, bdx) / cross, determinant(da, db, ady, bdy) / cross
+    safe = F.when(cross != 0, cross)
+    return cross, determinant(da, db, adx, bdx) / safe, determinant(da, db, ady, bdy) / safe
+
+
+def intersection(a: Box, b: Box) -> Column:
+    """struct(x, y) where two lines meet near both of them; null for parallel lines or none."""
+    cross, x, y = crossing_point(a, b)
     return F.when(cross != 0, F.when(near_line(a, x, y) & near_line(b, x, y), F.struct(x.alias("x"), y.alias("y"))))
 
 

@@ -24,9 +24,9 @@ def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
     return df.select([F.col(c) if c in keep else F.col(c).alias(prefix + c) for c in df.columns])
 
 
-def _level(b: Box, cell: float, levels: int) -> Column:
-    """The lowest level whose cells are no smaller than the box."""
-    size = F.greatest(b.width, b.height, F.lit(0.0))
+def _level(b: Box, cell: float, levels: int, spread: int = 1) -> Column:
+    """The lowest level on which the box is at most `spread` cells long."""
+    size = F.greatest(b.width, b.height, F.lit(0.0)) / spread
     level = F.lit(levels - 1)
     for k in range(levels - 2, -1, -1):
         level = F.when(size <= cell * 2**k, k).otherwise(level)
@@ -58,14 +58,15 @@ def containment(outer: DataFrame, inner: DataFrame, on: Sequence[str] = ("page",
     return _covered(a, Box.of(o), cell).join(b, [*on, "_l", "_cx", "_cy"]).filter(exact if extra is None else exact & extra).drop("_l", "_cx", "_cy")
 
 
-def intersection(left: DataFrame, right: DataFrame, on: Sequence[str] = ("page",), a: str = "a_", b: str = "b_", extra: Column | None = None, cell: float = CELL, levels: int = LEVELS) -> DataFrame:
+def intersection(left: DataFrame, right: DataFrame, on: Sequence[str] = ("page",), a: str = "a_", b: str = "b_", extra: Column | None = None, cell: float = CELL, levels: int = LEVELS, span: int = 1) -> DataFrame:
     """Pairs of boxes that meet (closed); a pair belongs to the cell of the min corner of its overlap, at the coarser level.
 
-    At that level one of the two is at home, so boxes of one level only meet those of the same or finer levels.
+    At that level one of the two is at home, so boxes of one level only meet those of the same or finer levels.  A larger `span` puts
+    boxes on finer levels: more rows, at most (span + 1)**2 for each box, and fewer candidates on crowded pages.
     """
 
     def spread(df: DataFrame, prefix: str, home: bool, skip: int = 0) -> DataFrame:
-        rows = prefixed(df, prefix, on).withColumn("_own", _level(Box.of(prefix), cell, levels))
+        rows = prefixed(df, prefix, on).withColumn("_own", _level(Box.of(prefix), cell, levels, span))
         if not home:
             rows = rows.filter(F.col("_own") + skip <= levels - 1)
         at = F.col("_own") if home else F.explode(F.sequence(F.col("_own") + skip, F.lit(levels - 1)))
@@ -110,8 +111,12 @@ def crossings(segments: DataFrame, on: Sequence[str] = ("page",), cell: float =
     """(page, a_id, b_id, px, py): where two segments of a page meet; each pair once, a_id < b_id."""
     rows = boxed(segments)
     wide = rows.select("*").withColumns({"x0": F.col("x0") - 2 * g.NEAR_LINE, "y0": F.col("y0") - 2 * g.NEAR_LINE, "x1": F.col("x1") + 2 * g.NEAR_LINE, "y1": F.col("y1") + 2 * g.NEAR_LINE})
-    pairs = intersection(wide, rows, on, extra=F.col("a_id") < F.col("b_id"), cell=cell)
-    met = pairs.withColumn("_at", g.intersection(Box.of("a_l"), Box.of("b_l"))).filter(F.col("_at").isNotNull())
+    pairs = intersection(wide, rows, on, extra=F.col("a_id") < F.col("b_id"), cell=cell, span=2, levels=5)
+    left, right = Box.of("a_l"), Box.of("b_l")
+    cross, x, y = g.crossing_point(left, right)
+    # the explode keeps the point a column: inlined into the conditions it would be computed many times over
+    met = pairs.filter(cross != 0).withColumn("_at", F.explode(F.array(F.struct(x.alias("x"), y.alias("y")))))
+    met = met.filter(g.near_line(left, F.col("_at.x"), F.col("_at.y")) & g.near_line(right, F.col("_at.x"), F.col("_at.y")))
     return met.select(*on, "a_id", "b_id", F.col("_at.x").alias("px"), F.col("_at.y").alias("py"))
 
 

@@ -16,7 +16,7 @@ from ..functions import predicates as p
 from ..functions import texts as t
 from ..functions.geometry import Box
 from ..operators import boxes, composites, graph, rules, shapes, spatial, summary, tables, words
-from .views import base, glyphs, view, with_views
+from .views import base, dealt, glyphs, view, with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,19 +73,19 @@ def bbox_overlap_area(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o.page, o.id AS outer_id, i.id AS inner_id FROM v_boxes o JOIN v_boxes i ON o.page = i.page AND o.id <> i.id AND o.x0 <= i.x0 AND o.y0 <= i.y0 AND o.x1 >= i.x1 AND o.y1 >= i.y1", "v_boxes")
 def box_containment(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1")
+    v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
     return spatial.containment(v, v, extra=F.col("o_id") != F.col("i_id")).select("page", F.col("o_id").alias("outer_id"), F.col("i_id").alias("inner_id"))
 
 
 @query("SELECT a.page, a.id AS a_id, b.id AS b_id FROM v_boxes a JOIN v_boxes b ON a.page = b.page AND a.id < b.id AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1", "v_boxes")
 def box_intersection(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1")
+    v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
     return spatial.intersection(v, v, extra=F.col("a_id") < F.col("b_id")).select("page", "a_id", "b_id")
 
 
 @query("SELECT o.page, o.id AS region_id, i.id AS box_id FROM v_boxes o JOIN v_boxes i ON o.page = i.page AND o.id <> i.id AND i.x0 BETWEEN o.x0 AND o.x1 AND i.y1 BETWEEN o.y0 AND o.y1", "v_boxes")
 def top_left_in(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1")
+    v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
     return spatial.top_left_in(v, v).filter(F.col("o_id") != F.col("i_id")).select("page", F.col("o_id").alias("region_id"), F.col("i_id").alias("box_id"))
 
 
@@ -118,7 +118,7 @@ def segment_features(spark: SparkSession, sf: str) -> DataFrame:
     "v_segments",
 )
 def segment_intersections(spark: SparkSession, sf: str) -> DataFrame:
-    return spatial.crossings(view(spark, sf, "v_segments")).select("page", "a_id", "b_id", r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
+    return spatial.crossings(dealt(view(spark, sf, "v_segments"), "id")).select("page", "a_id", "b_id", r6(F.col("px")).alias("px"), r6(F.col("py")).alias("py"))
 
 
 CURVE = "(1 - {t}) * (1 - {t}) * (1 - {t}) * {a}0 + 3 * (1 - {t}) * (1 - {t}) * {t} * {a}1 + 3 * (1 - {t}) * {t} * {t} * ({b}) + {t} * {t} * {t} * ({c})"
@@ -184,7 +184,7 @@ def _curves(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     c = _curves(spark, sf)
-    return shapes.most_similar(c, c, "shape", "shape", 400.0, (F.col("q_page") == F.col("c_page")) & (F.col("q_shape") != F.col("c_shape")))
+    return shapes.most_similar(c, c, "shape", "shape", 400.0, ["page"], F.col("q_shape") != F.col("c_shape"))
 
 
 @query(SHAPES + " SELECT shape, match_id, distance FROM best", "v_segments")
@@ -257,7 +257,7 @@ def text_key_groups(spark: SparkSession, sf: str) -> DataFrame:
     SELECT doc_id, w AS text, length(w) AS n, CAST(pos * 6 AS DOUBLE) AS x0, CAST((pos + length(w)) * 6 AS DOUBLE) AS x1 FROM placed WHERE w <> ''"""
 )
 def words_from_glyphs(spark: SparkSession, sf: str) -> DataFrame:
-    found = words.runs(glyphs(base(spark, sf, "documents").select("doc_id", "text")), ["doc_id"], "pos")
+    found = words.runs(glyphs(dealt(base(spark, sf, "documents").select("doc_id", "text"), "doc_id")), ["doc_id"], "pos")
     return found.select("doc_id", "text", "n", "x0", "x1")
 
 
@@ -604,7 +604,7 @@ def aligned_groups(spark: SparkSession, sf: str) -> DataFrame:
     "v_segments",
 )
 def first_crossings(spark: SparkSession, sf: str) -> DataFrame:
-    points = spatial.crossings(view(spark, sf, "v_segments")).withColumns({"px": r6(F.col("px")), "py": r6(F.col("py"))})
+    points = spatial.crossings(dealt(view(spark, sf, "v_segments"), "id")).withColumns({"px": r6(F.col("px")), "py": r6(F.col("py"))})
     return spatial.first_crossings(points)
 
 

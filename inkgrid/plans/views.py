@@ -58,6 +58,15 @@ def base(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    """df in as many partitions as there are cores, if it comes from fewer files: one small file is one task otherwise.
+
+    Larger inputs are left as they are, so no shuffle is added where it would cost.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *columns) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a DataFrame; only the tables that it names are opened, with their columns pruned at the scan."""
     text = VIEWS[name]

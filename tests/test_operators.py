@@ -195,3 +195,16 @@ def test_titles(spark):
     elems = spark.createDataFrame(rows, schema)
     assert summary.house_name(elems).first()["name"] == "Smith House"
     assert "A-1" not in summary.page_name(elems).first()["name"]
+
+
+def test_set_distances_equal_the_expression(spark):
+    from inkgrid.functions import geometry as g
+
+    rnd = random.Random(6)
+    line = lambda: tuple(float(rnd.randrange(20)) for _ in range(4))
+    rows = [([line() for _ in range(rnd.randrange(4))], [line() for _ in range(rnd.randrange(4))]) for _ in range(60)]
+    kind = f"array<{g.LINE}>"
+    df = spark.createDataFrame(rows, f"a {kind}, b {kind}")
+    native = [r.d for r in df.select(g.line_set_distance(F.col("a"), F.col("b")).alias("d")).collect()]
+    table = df.toArrow().combine_chunks()
+    assert shapes.set_distances(table["a"].chunk(0), table["b"].chunk(0)).tolist() == pytest.approx(native)
