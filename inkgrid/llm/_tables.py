@@ -19,6 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+#: Rows of a batch that workers exchange with the JVM; texts are long, and both sides hold a batch and its result.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's rows for each Arrow batch to BATCH_ROWS, unless it asks for fewer; Spark bounds the bytes besides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, written as Parquet below the shared checkpoint folder and read again.
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._tables import bounded_batches
 from ._text import flat, ragged, settled
 
 #: Fixed value: the word pattern of byte-level BPE as published for this vocabulary.
@@ -200,6 +202,15 @@ def _bpe(spec: str) -> Bpe:
     return _loaded[key]
 
 
+def _each(batches: Iterator[pa.Array], one: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
+    """one of every batch of a task; the vocabulary and its table of words go with the task, since workers outlive it."""
+    try:
+        for batch in batches:
+            yield one(batch)
+    finally:
+        _loaded.clear()
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
@@ -208,6 +219,7 @@ def default_vocabulary() -> str:
 
 def _spec(spark: SparkSession, path: str | None):
     """The vocabulary file's content (a few MB, of fixed size), broadcast to the workers."""
+    bounded_batches(spark)
     with open(path or default_vocabulary(), encoding="utf-8") as f:
         return spark.sparkContext.broadcast(f.read())
 
@@ -231,9 +243,8 @@ def encode_column(spark: SparkSession, text: Column | str, vocabulary: str | Non
     """array<int> of a text's token ids."""
     spec = _spec(spark, vocabulary)
 
-    @F.arrow_udf("array<int>")
     @settled
-    def encode(texts: pa.Array) -> pa.Array:
+    def one(texts: pa.Array) -> pa.Array:
         bpe, ids, ends = _bpe(spec.value), [], [np.zeros(1, np.int64)]
         for part in _chunks(texts):
             i, o = bpe.encode(part)
@@ -241,6 +252,10 @@ def encode_column(spark: SparkSession, text: Column | str, vocabulary: str | Non
             ends.append(o[1:] + ends[-1][-1])
         return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)))
 
+    @F.arrow_udf("array<int>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(batches, one)
+
     return encode(text)
 
 
@@ -248,15 +263,18 @@ def decode_column(spark: SparkSession, ids: Column | str, vocabulary: str | None
     """string of an array of token ids; null is empty."""
     spec = _spec(spark, vocabulary)
 
-    @F.arrow_udf("string")
     @settled
-    def decode(rows: pa.Array) -> pa.Array:
+    def one(rows: pa.Array) -> pa.Array:
         if rows.null_count:
             rows = pa.array([x or [] for x in rows.to_pylist()], pa.list_(pa.int32()))
         offsets = np.asarray(rows.offsets).astype(np.int64)
         values = np.asarray(rows.values.fill_null(-1))[offsets[0] : offsets[-1]]
         return pa.array(_bpe(spec.value).decode(values, offsets - offsets[0]), pa.string())
 
+    @F.arrow_udf("string")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(batches, one)
+
     return decode(ids)
 
 
@@ -269,9 +287,8 @@ def coded_column(spark: SparkSession, text: Column | str, vocabulary: str | None
     """struct(n_tokens, ids_sha256, decoded_sha256[, token_ids]): digests of the encoder's ids and of what the decoder makes of them."""
     spec = _spec(spark, vocabulary)
 
-    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", token_ids: array<int>>" if with_ids else ">"))
     @settled
-    def coded(texts: pa.Array) -> pa.Array:
+    def one(texts: pa.Array) -> pa.Array:
         bpe, count, first, second, kept = _bpe(spec.value), [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
         for part in _chunks(texts):
             ids, ends = bpe.encode(part)
@@ -287,6 +304,10 @@ def coded_column(spark: SparkSession, text: Column | str, vocabulary: str | None
             columns["token_ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(kept)))
         return pa.StructArray.from_arrays(list(columns.values()), list(columns))
 
+    @F.arrow_udf("struct<n_tokens: bigint, ids_sha256: string, decoded_sha256: string" + (", token_ids: array<int>>" if with_ids else ">"))
+    def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(batches, one)
+
     return coded(text)
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._tables import bounded_batches
 from ._text import settled
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -204,10 +205,12 @@ def text_column(html: Column | str) -> Column:
 
 def with_text(pages: DataFrame, html_col: str = "html", out_col: str = "text") -> DataFrame:
     """pages, all columns, with the main text (a same-named column is replaced); one narrow pass."""
+    bounded_batches(pages.sparkSession)
     return pages.withColumn(out_col, text_column(F.col(html_col)))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row."""
+    bounded_batches(pages.sparkSession)
     found = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), text_column(F.col(html_col)).alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))

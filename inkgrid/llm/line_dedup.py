@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import bounded_batches, written
 from ._text import U64, flat, mix, runs, settled, spans_hash, words
 
 #: Keys of a shard on average; the number of shards follows the number of repeated lines.
@@ -184,6 +184,7 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _drops(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(doc, nameless, drop array<bigint>) of the documents that lose lines."""
+    bounded_batches(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("doc"), F.col(id_col).isNull().alias("nameless"), keys_column(F.col(text_col), least).alias("keys"))
     lines = written(lines.filter(F.size("keys") > 0), "lines").select("doc", "nameless", F.explode("keys").alias("key"))

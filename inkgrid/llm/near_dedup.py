@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import bounded_batches, written
 from ._text import U64, flat, mix, runs, settled, shingles, spans_hash, words
 from .components import components
 
@@ -262,6 +262,7 @@ class _Links:
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept: the row's id is its component's smallest."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
     sketched = written(rows.select("doc", sketch_column(F.col("text")).alias("k")).select("doc", "k.n", "k.digest", "k.regs"), "sketches")
     full = sketched.filter(F.col("doc").isNotNull() & (F.col("n") > 0))

@@ -20,15 +20,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._tables import bucket
+from ._tables import bounded_batches, bucket
 from ._text import settled
 
 #: Bytes compressed at once: short enough for a dictionary to matter in every part of a long text.
 BLOCK = 512
 LEVEL = 3
 #: Bounds of the sample that the model is fitted on: texts of each label in each half, and bytes of each such group.
-SAMPLE_TEXTS = 3000
-SAMPLE_BYTES = 16_000_000
+SAMPLE_TEXTS = 2000
+SAMPLE_BYTES = 8_000_000
 DICTIONARY_BYTES = 262_144
 SHRINK = 32.0
 
@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score_column(spark: SparkSession, model: QualityModel, text: Column | str) -> Column:
     """double: the probability that a text is of label 1."""
+    bounded_batches(spark)
     data = spark.sparkContext.broadcast(pickle.dumps(model))
     cache: list[QualityModel] = []
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._tables import written
+from ._tables import bounded_batches, written
 from ._text import U64, WHITE, flat, mix, runs, settled, shingles, spans_hash, words
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_marks", "n_bare"]
@@ -175,6 +175,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     posterior are native.  The only shuffle is the pattern count.
     """
     rules = rules or RULES
+    bounded_batches(docs.sparkSession)
     counted = written(docs.select(F.col(id_col).alias("doc_id"), counts_column(F.col(text_col)).alias("c")).select("doc_id", "c.*"), "rules")
     votes = [f"vote_{r.name}" for r in rules]
     voted = counted.withColumns({v: r.vote() for v, r in zip(votes, rules, strict=True)})
