@@ -34,6 +34,8 @@ def settled(f: Callable) -> Callable:
 
     @functools.wraps(f)
     def call(*args):
+        if pa.default_memory_pool().backend_name != "system":  # whose freed blocks go back at once
+            pa.set_memory_pool(pa.system_memory_pool())
         try:
             return f(*args)
         finally:
