@@ -1,14 +1,15 @@
-"""Language-model scoring with a probabilistic suffix tree over words.
+"""Language-model scoring with a probabilistic suffix tree over words, held in shards.
 
-States are contexts of the last zero, one or two words.  A context of at least MIN_CONTEXT of all training tokens becomes a
-state if the divergence of its next-token distribution from that of its suffix is at least MIN_DIVERGENCE nats.  A state keeps the
-next tokens that make up at least MIN_PAIR of all training tokens (and occur twice), smoothed towards the suffix's distribution; the rest of its
-mass goes to all other tokens in proportion to the suffix's distribution, so every state's probabilities sum to one.  The
-root is the smoothed unigram distribution.  A token is scored by the longest suffix of its history that is a state.
+States are contexts of the last one or two words (the root is the smoothed unigram distribution).  A context that occurs at least
+MIN_SEEN times becomes a state if the divergence of its next-token distribution from that of its suffix is at least MIN_DIVERGENCE
+nats.  A state keeps the next tokens that follow it at least MIN_MOVE times, smoothed towards the suffix's distribution; the rest
+of its mass goes to all other tokens in proportion to the suffix's distribution, so every state's probabilities sum to one.  A
+token is scored by the longest suffix of its history that is a state.
 
-Sizes: the thresholds are shares of the tokens, so there are at most 1/MIN_WORD frequent words, 1/MIN_CONTEXT states of each
-length and 1/MIN_PAIR kept transitions of each length, whatever the corpus; only these are broadcast.  Counts run over all
-training tokens.  Tokens outside the frequent words meet their counts in a join; none of them is a hot key.
+Sizes: evidence is counted in occurrences, so the tree grows with the corpus, and no task holds all of it.  Texts stand in chunks
+of CHUNK bytes.  For each length of n-grams, a chunk sends its distinct n-grams with their counts, as flat arrays, to shards by
+the hash of their context, and gets the counts of the whole corpus back; a context of many occurrences is dealt to several
+shards.  The shards send each context's sums to one place, which decides whether it is a state and tells the chunks that asked.
 
 Defined results: a null or empty text is one end token; long texts are read whole; repeated rows are documents of their own, and
 count as often as they occur; a row with a null id is held out; without training tokens every probability is that of an
@@ -17,29 +18,39 @@ unseen token; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
-import math
-import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import bounded_batches, bucket, written
 from ._text import U64, flat, mix, runs, settled, spans_hash, words
 
-MIN_WORD = 2e-7
-MIN_CONTEXT = 1e-5
-MIN_PAIR = 2e-7
+#: Fixed evidence: occurrences of a context and of a kept transition, whatever the size of the corpus.
+MIN_SEEN = 8
+MIN_MOVE = 2
 MIN_DIVERGENCE = 0.02
+#: Words of the longest context.
+LEVELS = 2
 #: Words of prior mass that a state's suffix contributes.
 PRIOR = 20.0
 ALPHA = 0.1
 END = int(mix(np.array([0x656E64], dtype=U64)).view(np.int64)[0])
-#: Distinct keys that a counting task holds before it hands them on.
-HELD = 1_000_000
+#: Bytes of text in a chunk (a longer document stands with few others), and of all text for each shard.
+CHUNK, SHARD = 6 << 20, 8 << 20
+#: Occurrences of a context for each shard that its n-grams are dealt to; parts in which the n-grams of a length go out.
+PIECE = 1 << 16
+PARTS = 4
+#: What rows of an exchange hold: n-grams or contexts asked for, sums of contexts, counts, states, totals.
+GRAMS, CONTEXTS, SUMS, COUNTS, STATES, TOTALS = range(6)
+EXCHANGE = "kind int, level int, dest bigint, chunk bigint, a binary, b binary"
+FIELDS = ("kind", "level", "dest", "chunk", "a", "b")
+SUM = np.dtype([("count", "<f8"), ("lower", "<f8"), ("gain", "<f8")])
 
 
 def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,184 +60,321 @@ def tokens(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.insert(h, first[1:], END), first + np.arange(len(first))
 
 
-@dataclass
-class Tree:
-    """The broadcast part of a model; all arrays have bounded sizes."""
+def _shift(x: np.ndarray) -> np.ndarray:
+    return np.r_[x[:1], x[:-1]]
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, a place of each, inverse); sorting need not be stable for that, which is much faster."""
+    own, inverse = np.unique(keys, return_inverse=True)
+    place = np.empty(len(own), np.int64)
+    place[inverse] = np.arange(len(keys))
+    return own, place, inverse
+
+
+def _rows(rows: list[tuple]) -> pa.Table:
+    types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.table({n: pa.array([r[k] for r in rows], t) for k, (n, t) in enumerate(zip(FIELDS, types, strict=True))})
+
+
+def _dealt(keys: np.ndarray, shards: int, context: np.ndarray | None = None, seen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order, shards, cuts) that deal ascending keys into shards, by themselves or by their contexts."""
+    if context is None:
+        own = (mix(keys.view(U64)) % U64(shards)).astype(np.int64)
+        order = np.argsort(own, kind="stable")
+    else:
+        piece = keys.view(U64) % (seen // PIECE + 1).astype(U64)
+        own = (mix(context.view(U64) + piece * U64(0x9E3779B97F4A7C15)) % U64(shards)).astype(np.int64)
+        order = np.lexsort((context, own))
+    own = own[order]
+    cuts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    return order, own[cuts], np.r_[cuts, len(own)]
 
+
+@dataclass
+class Sizes:
+    shards: int
     total: int = 0
     kinds: int = 0
-    word: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of frequent tokens, ascending
-    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # states, log rest, transitions, log p
 
     def log_base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + ALPHA) / (self.total + ALPHA * (self.kinds + 1)))
 
-    def look_up(self, h: np.ndarray) -> np.ndarray:
-        """Places among the frequent tokens, -1 for others."""
-        if not len(self.word):
-            return np.full(len(h), -1, np.int64)
-        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
-        return np.where(self.word[at] == h, at, -1)
-
 
-def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+class Chunk:
+    """The tokens of a chunk of documents, taken through the levels whose answers are there."""
+
+    def __init__(self, texts: pa.Table, answers: pa.Table, sizes: Sizes):
+        self.sizes = sizes
+        h, self.offsets = tokens(*flat(texts["text"]))
+        size = np.diff(self.offsets)
+        self.word, self.held = h, np.repeat(np.asarray(texts["held_out"]), size)
+        self.pos = np.arange(len(h)) - np.repeat(self.offsets[:-1], size)
+        self.found: dict[tuple[int, int], list[tuple[int, bytes]]] = {}
+        for kind, level, dest, a in zip(*(answers[c].to_pylist() for c in ("kind", "level", "dest", "a")), strict=True):
+            self.found.setdefault((kind, level), []).append((dest, a))
+        self.gram, self.level = h, 1
+        self.ask = np.ones(len(h), bool)
+        self.cand = self.known = np.zeros(len(h), bool)
+        self.value = np.zeros(len(h))
+        self.context = self.gram
+
+    def _answer(self, kind: int, inverse: np.ndarray, order: np.ndarray, dtype: str) -> np.ndarray:
+        """Answers come by shard, in the order in which the keys were sent."""
+        flat_ = np.frombuffer(b"".join(a for _, a in sorted(self.found[kind, self.level])), dtype)
+        out = np.empty(len(flat_), flat_.dtype)
+        out[order] = flat_
+        return out[inverse]
+
+    def _grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(distinct n-grams that are asked for, a place of each, inverse, how they are dealt)."""
+        keys, first, inverse = _distinct(self.gram[self.ask])
+        about = (self.context[self.ask][first], self.seen[self.ask][first]) if self.level > 1 else ()
+        return keys, first, inverse, _dealt(keys, self.sizes.shards, *about)
+
+    def advance(self) -> None:
+        """Takes the answers of a level in and stands before the next one."""
+        n, many = self.level, len(self.word)
+        count = np.zeros(many, np.int64)
+        if self.ask.any():
+            _, _, inverse, (order, _, _) = self._grams()
+            count[self.ask] = self._answer(COUNTS, inverse, order, "<i8")
+        if n == 1:
+            self.count, self.base = count, self.sizes.log_base(count)
+            self.value, self.known, self.kept = self.base, np.ones(many, bool), np.zeros(many, bool)
+        else:
+            rest = np.full(many, np.nan)
+            if self.cand.any():
+                keys, inverse = np.unique(self.context[self.cand], return_inverse=True)
+                rest[self.cand] = self._answer(STATES, inverse, _dealt(keys, self.sizes.shards)[0], "<f8")
+            self.known, self.kept, self.rest = ~np.isnan(rest), count >= MIN_MOVE, rest
+            moved = np.log10((count + PRIOR * 10.0**self.value) / (self.seen + PRIOR))
+            self.value = np.where(self.known, np.where(self.kept, moved, rest + self.value), self.value)
+        self.level = n + 1
+        self.context, self.seen = _shift(self.gram), _shift(count)
+        self.ask = (self.pos >= n) & (self.seen >= MIN_SEEN)
+        self.cand = self.ask & self.known
+        if n == 1:
+            self.before = self.word
+        self.before = _shift(self.before)
+        self.gram = mix(self.gram.view(U64) * U64(0x9FB21C651E98DF25) + self.before.view(U64)).view(np.int64)
+
+    def asked(self, chunk: int, part: int, parts: int) -> Iterator[tuple]:
+        """Rows to the shards of the level's n-grams and contexts, as far as they belong to a part."""
+        keys, first, inverse, (order, shard, cuts) = self._grams()
+        many = np.bincount(inverse[~self.held[self.ask]], minlength=len(keys)).astype("<i4")
+        context = self.context[self.ask][first]
+        lower = np.where(self.cand, 10.0**self.value, np.nan)[self.ask][first].astype("<f4")
+        for k, s in enumerate(shard.tolist()):
+            if s % parts != part:
+                continue
+            own = order[cuts[k] : cuts[k + 1]]
+            about = many[own].tobytes()
+            if self.level > 1:  # columns of their own, a context once for all of its n-grams
+                start = np.flatnonzero(np.r_[True, np.diff(context[own]) != 0])
+                about += lower[own].tobytes() + context[own][start].tobytes() + np.diff(np.r_[start, len(own)]).astype("<i4").tobytes()
+            yield GRAMS, self.level, s, chunk, keys[own].tobytes(), about
+        keys, first, _ = _distinct(self.context[self.cand])
+        seen = self.seen[self.cand][first] if self.cand.any() else first
+        order, shard, cuts = _dealt(keys, self.sizes.shards)
+        for k, s in enumerate(shard.tolist()):
+            if s % parts != part:
+                continue
+            own = order[cuts[k] : cuts[k + 1]]
+            yield CONTEXTS, self.level, s, chunk, keys[own].tobytes(), seen[own].tobytes()
+
+
+def _sorted_sums(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their values."""
     if not len(keys):
-        return np.full(len(values), -1, np.int64)
-    at = np.minimum(np.searchsorted(keys, values), len(keys) - 1)
-    return np.where(keys[at] == values, at, -1)
-
-
-def _histories(place: np.ndarray, offsets: np.ndarray, tree: Tree) -> list[np.ndarray]:
-    """For each token and each level of the tree, the state of its history of that length, or -1."""
-    before = np.r_[-1, place[:-1]]
-    before[offsets[:-1]] = -1
-    out: list[np.ndarray] = []
-    for k, (states, _, _, _) in enumerate(tree.levels):
-        if k == 0:
-            out.append(np.where(before >= 0, _find(states, before), -1))
+        return keys, *values
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
+    return k[cut], *(np.add.reduceat(v[order], cut) for v in values)
+
+
+def _split(table: pa.Table, kind: int) -> tuple[list[int], list[bytes], list[bytes]]:
+    of = table.filter(pa.compute.equal(table["kind"], kind))
+    return of["chunk"].to_pylist(), of["a"].to_pylist(), of["b"].to_pylist()
+
+
+def _about(many: int, about: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(counts, lower probabilities, contexts) of so many n-grams as a chunk sent them."""
+    some = (len(about) - 8 * many) // 12
+    context, length = np.frombuffer(about, "<i8", some, 8 * many), np.frombuffer(about, "<i4", some, 8 * many + 8 * some)
+    return np.frombuffer(about, "<i4", many), np.frombuffer(about, "<f4", many, 4 * many), np.repeat(context, length)
+
+
+def _counted(table: pa.Table, sizes: Sizes) -> pa.Table:
+    """A shard of n-grams: their counts for each chunk that asked, and sums for the shards of their contexts."""
+    level, dest = table["level"][0].as_py(), table["dest"][0].as_py()
+    rows: list[tuple] = [(CONTEXTS, level, dest, c, a, b) for c, a, b in zip(*_split(table, CONTEXTS), strict=True)]
+    chunks, a, b = _split(table, GRAMS)
+    if not chunks:
+        return _rows(rows)
+    keys = np.frombuffer(b"".join(a), "<i8")
+    if level > 1:
+        count, lower, context = (np.concatenate(x) for x in zip(*(_about(len(k) // 8, x) for k, x in zip(a, b, strict=True)), strict=True))
+    else:
+        count = np.frombuffer(b"".join(b), "<i4")
+    own, count = _sorted_sums(keys, count.astype(np.int64))
+    for c, x in zip(chunks, a, strict=True):
+        rows.append((COUNTS, level, dest, c, count[np.searchsorted(own, np.frombuffer(x, "<i8"))].tobytes(), None))
+    if level == 1:
+        rows.append((TOTALS, level, dest, None, np.array([count.sum(), (count > 0).sum()], np.int64).tobytes(), None))
+        return _rows(rows)
+    one = np.empty(len(own), np.int64)
+    one[np.searchsorted(own, keys)] = np.arange(len(keys))  # an n-gram has one context and one lower probability, whoever sends it
+    lower, context = lower[one].astype(float), context[one]
+    keep = (count >= MIN_MOVE) & ~np.isnan(lower)
+    n, q = count[keep].astype(float), lower[keep]
+    context, n, q, gain = _sorted_sums(context[keep], n, q, n * np.log(n / q))
+    order, shard, cuts = _dealt(context, sizes.shards)
+    sums = np.zeros(len(context), SUM)
+    sums["count"], sums["lower"], sums["gain"] = n, q, gain
+    for k, s in enumerate(shard.tolist()):
+        mine = order[cuts[k] : cuts[k + 1]]
+        rows.append((SUMS, level, s, None, context[mine].tobytes(), sums[mine].tobytes()))
+    return _rows(rows)
+
+
+def _states(table: pa.Table) -> pa.Table:
+    """A shard of contexts: which are states, and the share of a state's other tokens (log10), for each chunk that asked."""
+    level, dest = table["level"][0].as_py(), table["dest"][0].as_py()
+    chunks, a, b = _split(table, CONTEXTS)
+    if not chunks:
+        return _rows([])
+    keys = np.frombuffer(b"".join(a), "<i8")
+    own, first = np.unique(keys, return_index=True)
+    seen = np.frombuffer(b"".join(b), "<i8")[first].astype(float)
+    _, x, y = _split(table, SUMS)
+    part = np.frombuffer(b"".join(y), SUM)
+    context, count, lower, gain = _sorted_sums(np.frombuffer(b"".join(x), "<i8"), *(part[c] for c in SUM.names))
+    at = np.searchsorted(own, context)
+    kept = np.zeros((3, len(own)))
+    kept[:, at] = count, lower, gain
+    count, lower, gain = kept
+    other_q = np.maximum(1 - lower, 1e-12)
+    other_p = np.maximum(seen - count + PRIOR * other_q, 1e-9 * seen) / (seen + PRIOR)
+    left = np.maximum(1 - count / seen, 0)
+    gain = (gain - count * np.log(seen)) / seen + np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / other_q), 0)
+    rest = np.where(gain >= MIN_DIVERGENCE, np.log10(other_p / other_q), np.nan)
+    rows = [(STATES, level, dest, c, rest[np.searchsorted(own, np.frombuffer(k, "<i8"))].tobytes(), None) for c, k in zip(chunks, a, strict=True)]
+    rows.append((TOTALS, level, dest, None, np.array([(~np.isnan(rest)).sum(), len(own)], np.int64).tobytes(), None))
+    return _rows(rows)
+
+
+def _totals(exchange: DataFrame) -> tuple[int, int]:
+    found = [np.frombuffer(r.a, "<i8") for r in exchange.filter(F.col("kind") == TOTALS).select("a").collect()]
+    return tuple(int(x) for x in np.sum(found, axis=0)) if found else (0, 0)
+
+
+def _passed(df: DataFrame, name: str) -> DataFrame:
+    """`written`, after which the shuffled arrays are deleted at once."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return written(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """(chunk, size, texts) of rows (doc_id, held_out, text): compressed tables of about CHUNK bytes of text, written."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size, base, number = 0, TaskContext.get().partitionId() << 32, 0
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for x in held:
+                    out.write_batch(x)
+            return pa.RecordBatch.from_arrays([pa.array([base + number]), pa.array([size]), pa.array([sink.getvalue().to_pybytes()])], ["chunk", "size", "texts"])
+
+        for batch in batches:
+            off = flat(batch["text"])[1]
+            for a, b in runs(off, CHUNK // 2):
+                held.append(batch.slice(a, b - a))
+                size += int(off[b] - off[a]) + b - a
+                if size >= CHUNK:
+                    yield packed()
+                    held, size, number = [], 0, number + 1
+        if size:
+            yield packed()
+
+    return written(rows.mapInArrow(pack, "chunk bigint, size bigint, texts binary"), "chunks")
+
+
+def _visit(texts: DataFrame, answers: DataFrame | None, sizes: Sizes, levels: int, f, schema: str) -> DataFrame:
+    """f(chunk number, chunk, texts) of every chunk, with the answers of so many levels taken in."""
+
+    @settled
+    def call(mine: pa.Table, others: pa.Table) -> pa.Table:
+        rows = pa.ipc.open_stream(mine["texts"][0].as_py()).read_all()
+        chunk = Chunk(rows, others, sizes)
+        for _ in range(levels):
+            chunk.advance()
+        return f(mine["chunk"][0].as_py(), chunk, rows)
+
+    if answers is None:
+        answers = texts.sparkSession.createDataFrame([], EXCHANGE)
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lambda a, b: call(a, b), schema)
+
+
+def learn(texts: DataFrame) -> tuple[Sizes, DataFrame | None, int]:
+    """(sizes, answers to the chunks, levels) of a chunked table; rows that are not held out are learnt from."""
+    size = texts.agg(F.sum("size")).first()[0]
+    if not size:
+        return Sizes(1), None, 0
+    sizes, answers = Sizes(max(1, size // SHARD, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))), None
+    for level in range(1, LEVELS + 2):
+        counted: DataFrame | None = None
+        for part in range(PARTS if level > 1 else 1):  # long n-grams go out in parts, so that less lies on disks at once
+            ask = _visit(texts, answers, sizes, level - 1, lambda number, chunk, _: _rows(list(chunk.asked(number, part, PARTS if level > 1 else 1))), EXCHANGE)
+            found = _passed(ask.groupBy("dest").applyInArrow(lambda t: _counted(t, sizes), EXCHANGE), "counts")
+            counted = found if counted is None else counted.unionByName(found)
+        new = counted.filter(F.col("kind") == COUNTS)
+        if level == 1:
+            sizes = Sizes(sizes.shards, *_totals(counted))
         else:
-            # a longer history: the word before, seen from the state of the shorter one
-            last = np.r_[-1, out[k - 1][:-1]]  # state of the history that ends one token earlier
-            last[offsets[:-1]] = -1
-            key = (last << np.int64(32)) | np.maximum(before, 0)
-            out.append(np.where((last >= 0) & (before >= 0), _find(states, key), -1))
-    return out
-
-
-def _scored(place: np.ndarray, offsets: np.ndarray, tree: Tree) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 of the unigram part, log10 of the model's part) of each token; both leave out the unigram term of rare tokens."""
-    base = np.where(place >= 0, tree.log_base(tree.count[place]) if len(tree.count) else 0.0, 0.0)
-    value = base
-    for state, (_, rest, moves, log_p) in zip(_histories(place, offsets, tree), tree.levels, strict=True):
-        known = state >= 0
-        lower = np.where(known, rest[np.maximum(state, 0)] + value if len(rest) else value, value)
-        at = np.where(known & (place >= 0), _find(moves, (state << np.int64(32)) | np.maximum(place, 0)), -1)
-        value = np.where(at >= 0, log_p[at] if len(log_p) else 0.0, lower)
-    return base, value
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for batch in batches:
-        raw_all, off = flat(batch["text"])
-        for a, b in runs(off):
-            yield tokens(raw_all[off[a] : off[b]], off[a : b + 1] - off[a])
-
-
-def _counted(keys: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of keys; what is held is handed on when it grows large."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
-    size = 0
-
-    def merged() -> tuple[np.ndarray, np.ndarray]:
-        k, n = np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
-        order = np.argsort(k, kind="stable")
-        k, n = k[order], n[order]
-        cut = np.flatnonzero(np.r_[True, k[1:] != k[:-1]]) if len(k) else np.zeros(0, np.int64)
-        return k[cut], np.add.reduceat(n, cut) if len(cut) else n
-
-    for part in keys:
-        k, n = np.unique(part, return_counts=True)
-        held.append((k, n))
-        size += len(k)
-        if size > 2 * HELD:
-            held = [merged()]
-            size = len(held[0][0])
-            if size > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held[0][0]), pa.array(held[0][1])], ["k", "c"])
-                held, size = [], 0
-    if held:
-        k, n = merged()
-        for at in range(0, len(k), 200_000):
-            yield pa.RecordBatch.from_arrays([pa.array(k[at : at + 200_000]), pa.array(n[at : at + 200_000])], ["k", "c"])
-
-
-def _frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts) of at least `least`, by key; the caller's thresholds bound how many there can be."""
-    table = counts.filter(F.col("c") >= least).toArrow()
-    k, c = table["k"].to_numpy(), table["c"].to_numpy()
-    order = np.argsort(k)
-    return k[order], c[order]
-
-
-def _level(tree: Tree, states: np.ndarray, seen: np.ndarray, moves: np.ndarray, times: np.ndarray, lower: np.ndarray) -> None:
-    """Adds a level: candidate states with their counts, kept transitions (place of the state, token) with theirs, log10 p of the suffix."""
-    owner, c = (moves >> np.int64(32)).astype(np.int64), times.astype(float)
-    total = seen.astype(float)
-    q = 10.0**lower
-    p = (c + PRIOR * q) / (total[owner] + PRIOR)
-    kept_c, kept_q = np.bincount(owner, c, len(states)), np.bincount(owner, q, len(states))
-    other_q = np.maximum(1 - kept_q, 1e-12)
-    other_p = np.maximum(total - kept_c + PRIOR * other_q, 1e-9 * total) / (total + PRIOR)
-    share = c / total[owner]
-    gain = np.bincount(owner, share * np.log(np.maximum(share, 1e-300) / q), len(states))
-    left = np.maximum(1 - kept_c / total, 0)
-    gain += np.where(left > 0, left * np.log(np.maximum(left, 1e-300) / other_q), 0)
-    stay = gain >= MIN_DIVERGENCE
-    place = np.cumsum(stay) - 1
-    mine = stay[owner]
-    tree.levels.append((states[stay], np.log10(other_p / other_q)[stay], (place[owner[mine]] << np.int64(32)) | (moves[mine] & np.int64(0xFFFFFFFF)), np.log10(p[mine])))
-
-
-def fit(train: DataFrame) -> tuple[Tree, DataFrame]:
-    """(tree, counts of all training tokens) of a table with a text column; three passes over the texts."""
-    spark = train.sparkSession
-    texts = train.select("text")
-    counts = written(texts.mapInArrow(lambda it: _counted(t for t, _ in _texts(it)), "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")), "unigrams")
-    whole = counts.agg(F.sum("c"), F.count("*")).first()
-    tree = Tree(whole[0] or 0, whole[1])
-    if not tree.total:
-        return tree, counts
-    tree.word, tree.count = _frequent(counts, max(2, math.ceil(MIN_WORD * tree.total)))
-    if len(tree.word) == 0 or tree.look_up(np.array([END]))[0] < 0:  # a single training document: its end is a word too
-        rest = np.setdiff1d(np.array([END]), tree.word)
-        tree.word, tree.count = np.r_[tree.word, rest], np.r_[tree.count, np.ones(len(rest), np.int64)]
-        order = np.argsort(tree.word)
-        tree.word, tree.count = tree.word[order], tree.count[order]
-    end = tree.look_up(np.array([END]))[0]
-    least, least_move = max(2, math.ceil(MIN_CONTEXT * tree.total)), max(2, math.ceil(MIN_PAIR * tree.total))
-    states = np.flatnonzero((tree.count >= least) & (np.arange(len(tree.word)) != end))
-    seen = tree.count[states]
-    for level in range(2):
-        if not len(states):
-            break
-        # candidates stand in for the level while its transitions are counted
-        probe = Tree(tree.total, tree.kinds, tree.word, tree.count, [*tree.levels, (states, np.zeros(len(states)), np.zeros(0, np.int64), np.zeros(0))])
-        data = spark.sparkContext.broadcast(pickle.dumps(probe))
-
-        def moves_of(batches: Iterator[pa.RecordBatch], data=data, level=level) -> Iterator[pa.RecordBatch]:
-            model = pickle.loads(data.value)
-
-            def keys() -> Iterator[np.ndarray]:
-                for h, offsets in _texts(batches):
-                    place = model.look_up(h)
-                    state = _histories(place, offsets, model)[level]
-                    fit = (state >= 0) & (place >= 0)
-                    yield (state[fit] << np.int64(32)) | place[fit]
-
-            return _counted(keys())
-
-        found = written(texts.mapInArrow(moves_of, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")).filter(F.col("c") >= least_move), "moves")
-        moves, times = _frequent(found, least_move)
-        owner, token = moves >> np.int64(32), moves & np.int64(0xFFFFFFFF)
-        lower = tree.log_base(tree.count[token])
-        if level:
-            shorter = tree.levels[level - 1]
-            # the suffix of a history of two words is the state of its last word
-            suffix = _find(tree.levels[0][0], states[owner] & np.int64(0xFFFFFFFF))
-            at = np.where(suffix >= 0, _find(shorter[2], (suffix << np.int64(32)) | token), -1)
-            rest = np.where(suffix >= 0, shorter[1][np.maximum(suffix, 0)] if len(shorter[1]) else 0.0, 0.0)
-            lower = np.where(at >= 0, shorter[3][at] if len(shorter[3]) else 0.0, rest + lower)
-        _level(tree, states, seen, moves, times, lower)
-        if level == 0:
-            # histories of two words: a state of the first level, then a frequent word
-            kept = tree.levels[0][0]
-            state = _find(kept, states[owner])
-            long_enough = (times >= least) & (state >= 0) & (token != end)
-            key = (state[long_enough] << np.int64(32)) | token[long_enough]
-            order = np.argsort(key)
-            states, seen = key[order], times[long_enough][order]
-    return tree, counts
+            states = _passed(counted.filter(F.col("kind").isin(CONTEXTS, SUMS)).groupBy("dest").applyInArrow(_states, EXCHANGE), "states")
+            new = new.unionByName(states.filter(F.col("kind") == STATES))
+        answers = new if answers is None else answers.unionByName(new)
+    return sizes, answers, LEVELS + 1
+
+
+@dataclass
+class Tree(Sizes):
+    """The words and the first level of a model of a small corpus, collected to be looked at."""
+
+    word: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # hashes of tokens, ascending
+    count: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # states, log rest, transitions, log p
+
+
+def fit(train: DataFrame) -> tuple[Tree, DataFrame | None]:
+    """(words and first level, answers to the chunks) of a small table with a text column."""
+    bounded_batches(train.sparkSession)
+    texts = _chunked(train.select(F.lit(0).alias("doc_id"), F.lit(False).alias("held_out"), "text"))
+    sizes, answers, levels = learn(texts)
+    if not levels:
+        return Tree(1), answers
+
+    def dump(_: int, chunk: Chunk, __: pa.Table) -> pa.Table:
+        state = np.where(chunk.known, _shift(chunk.word), 0)
+        return pa.table({"word": chunk.word, "n": chunk.count, "state": pa.array(state, mask=~chunk.known), "rest": chunk.rest, "p": pa.array(chunk.value, mask=~(chunk.known & chunk.kept))})
+
+    table = _visit(texts, answers, sizes, 2, dump, "word bigint, n bigint, state bigint, rest double, p double").distinct().toArrow().to_pandas()
+    word = table[["word", "n"]].drop_duplicates().sort_values("word")
+    states = table.dropna(subset="state")[["state", "rest"]].drop_duplicates().sort_values("state")
+    moves = table.dropna(subset=["state", "p"])
+    key = (np.searchsorted(states["state"].to_numpy(), moves["state"].to_numpy()) << np.int64(32)) | np.searchsorted(word["word"].to_numpy(), moves["word"].to_numpy())
+    order = np.argsort(key)
+    return Tree(sizes.shards, sizes.total, sizes.kinds, word["word"].to_numpy(), word["n"].to_numpy(), [(states["state"].to_numpy(), states["rest"].to_numpy(), key[order], moves["p"].to_numpy()[order])]), answers
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, held_fold: int = 0) -> DataFrame:
@@ -234,35 +382,16 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
 
     Learns from rows whose crc32(id) mod folds is not held_fold.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(bucket(id_col, folds) == held_fold, F.lit(True)).alias("held_out"), F.col(text_col).alias("text"))
-    tree, counts = fit(rows.filter(~F.col("held_out")))
-    data = spark.sparkContext.broadcast(pickle.dumps(tree))
-    cache: list[Tree] = []
-
-    @F.arrow_udf("struct<n: bigint, known: bigint, base: double, value: double, rare: array<bigint>>")
-    @settled
-    def partial(texts: pa.Array) -> pa.Array:
-        if not cache:
-            cache.append(pickle.loads(data.value))
-        model = cache[0]
-        out: list[list[np.ndarray]] = [[np.zeros(0, t)] for t in (np.int64, np.int64, float, float, np.int64, np.int64)]
-        for h, offsets in _texts(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
-            place = model.look_up(h)
-            base, value = _scored(place, offsets, model)
-            rare = place < 0
-            sums = [np.add.reduceat(x, offsets[:-1]) for x in ((place >= 0).astype(np.int64), base, value, rare.astype(np.int64))]
-            for x, y in zip(out, (np.diff(offsets), *sums, h[rare]), strict=True):
-                x.append(y)
-        n, known, base, value, count, rare = (np.concatenate(x) for x in out)
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)].astype(np.int32)), pa.array(rare))
-        return pa.StructArray.from_arrays([pa.array(n), pa.array(known), pa.array(base), pa.array(value), lists], ["n", "known", "base", "value", "rare"])
-
-    parts = written(rows.select("doc_id", "held_out", F.monotonically_increasing_id().alias("_row"), partial("text").alias("p")).select("doc_id", "held_out", "_row", "p.*"), "partial")
-    unseen, weight = math.log10(ALPHA / (tree.total + ALPHA * (tree.kinds + 1))) if tree.total else 0.0, float(tree.total + ALPHA * (tree.kinds + 1))
-    rare = parts.select("_row", F.explode("rare").alias("k")).groupBy("_row", "k").agg(F.count("*").alias("n"))
-    found = rare.join(counts.filter(F.col("c") < max(2, math.ceil(MIN_WORD * tree.total))), "k").groupBy("_row").agg(F.sum("n").alias("_n"), F.sum(F.col("n") * F.log10((F.col("c") + ALPHA) / weight)).alias("_s"))
-    joined = parts.withColumn("_m", F.size("rare")).drop("rare").join(found, "_row", "left")
-    more = F.coalesce("_s", F.lit(0.0)) + (F.col("_m") - F.coalesce("_n", F.lit(0))) * F.lit(unseen)
-    return joined.select("doc_id", "held_out", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("_n", F.lit(0))).alias("n_known"), F.lit(tree.total).cast("bigint").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("value") + more).alias("score"))
+    bounded_batches(docs.sparkSession)
+    texts = _chunked(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(bucket(id_col, folds) == held_fold, F.lit(True)).alias("held_out"), F.col(text_col).alias("text")))
+    sizes, answers, levels = learn(texts)
+
+    def scored(_: int, chunk: Chunk, rows: pa.Table) -> pa.Table:
+        at = chunk.offsets[:-1]
+        sums = [np.add.reduceat(x, at) for x in ((chunk.count > 0).astype(np.int64), chunk.base, chunk.value)]
+        if not sizes.total:
+            sums[2] = sums[1]
+        return pa.table([rows["doc_id"], rows["held_out"], pa.array(np.diff(chunk.offsets)), pa.array(sums[0]), pa.array(np.full(len(at), sizes.total)), pa.array(sums[1]), pa.array(sums[2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+    return _visit(texts, answers, sizes, levels, scored, schema)

@@ -303,6 +303,63 @@ def test_states_sum_to_one(spark, sf_dir):
         assert (10.0 ** log_p[mine]).sum() + 10.0 ** rest[k] * (base[other].sum() + 1 - base.sum()) == pytest.approx(1)
 
 
+def brute_scores(train, texts, levels):
+    """Scores of texts by states of at most so many words, from a direct count."""
+    grams, follow = Counter(), {}
+    for t in train:
+        for n in range(1, levels + 2):
+            for i in range(n - 1, len(t)):
+                grams[tuple(t[i - n + 1 : i + 1])] += 1
+                follow.setdefault(tuple(t[i - n + 1 : i]), set()).add(t[i])
+    total, kinds, states = sum(map(len, train)), len(follow[()]), {}
+
+    def p(context, t):
+        if not context:
+            return (grams[(t,)] + suffix_tree.ALPHA) / (total + suffix_tree.ALPHA * (kinds + 1))
+        if not state(context):
+            return p(context[1:], t)
+        c = grams[(*context, t)]
+        if c >= suffix_tree.MIN_MOVE:
+            return (c + suffix_tree.PRIOR * p(context[1:], t)) / (grams[context] + suffix_tree.PRIOR)
+        return states[context] * p(context[1:], t)
+
+    def state(context):
+        """The factor of other tokens, or None."""
+        if context not in states:
+            states[context] = None
+            seen = grams[context]
+            if seen >= suffix_tree.MIN_SEEN and (len(context) == 1 or state(context[1:])):
+                kept = {t: grams[(*context, t)] for t in follow[context] if grams[(*context, t)] >= suffix_tree.MIN_MOVE}
+                q = {t: p(context[1:], t) for t in kept}
+                c, other = sum(kept.values()), max(1 - sum(q.values()), 1e-12)
+                gain = sum(n / seen * math.log(n / seen / q[t]) for t, n in kept.items()) + ((1 - c / seen) * math.log((1 - c / seen) / other) if c < seen else 0)
+                if gain >= suffix_tree.MIN_DIVERGENCE:
+                    states[context] = max(seen - c + suffix_tree.PRIOR * other, 1e-9 * seen) / (seen + suffix_tree.PRIOR) / other
+        return states[context]
+
+    return [sum(math.log10(p(tuple(t[max(0, i - levels) : i]), t[i])) for i in range(len(t))) for t in texts]
+
+
+def test_model_equals_direct_count(spark):
+    rnd = random.Random(3)
+    phrase = [f"p{k}" for k in range(8)]
+    texts = [sum((rnd.choice((phrase[k : k + 4], [f"w{min(rnd.randrange(40), rnd.randrange(40))}"])) for k in range(rnd.randrange(30))), []) for _ in range(300)]
+    got = {r.doc_id: r for r in suffix_tree.score(docs_of(spark, [" ".join(t) for t in texts])).collect()}
+    ended = [[*t, None] for t in texts]
+    want = brute_scores([t for k, t in enumerate(ended) if not got[k].held_out], ended, suffix_tree.LEVELS)
+    assert [got[k].score for k in range(300)] == pytest.approx(want, abs=1e-4)
+
+
+def test_evidence_is_the_same_in_a_large_corpus(spark):
+    """Contexts of a dozen occurrences stay states beside millions of other tokens."""
+    rows = [("rare gem of a find" if k % 2 else "quite another text", k) for k in range(40)]
+    scores = []
+    for more in (0, 2):
+        docs = spark.createDataFrame(rows + [("f " * 1_000_000, 10_001 + k) for k in range(more)], "text string, doc_id long")
+        scores.append({r.doc_id: r.score - r.base_score for r in suffix_tree.score(docs).collect()})
+    assert all(scores[1][k] > 1 for k in range(40)) and scores[0].keys() < scores[1].keys()
+
+
 def test_language_model_odd(spark, odd):
     assert suffix_tree.score(odd).count() == 13 and suffix_tree.score(odd.limit(0)).count() == 0
     only_held = suffix_tree.score(docs_of(spark, ["a"]).withColumn("doc_id", F.lit(None).cast("long"))).collect()
