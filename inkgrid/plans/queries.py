@@ -71,6 +71,22 @@ def bbox_overlap_area(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("a_id", "b_id", r6(g.overlap_area(Box.of("a_"), Box.of("b_"))).alias("area"))
 
 
+@query(None)
+def bbox_geometry_page(spark: SparkSession, sf: str) -> DataFrame:
+    """`bbox_geometry` of all pairs of a page, whatever their groups: as many rows as pairs, so no SQL is compared on large tables."""
+    v, a, b = view(spark, sf, "v_boxes").drop("grp", "text"), Box.of("a_"), Box.of("b_")
+    v = dealt(v, "id")
+    pairs = spatial.prefixed(v, "a_", ["page"]).join(spatial.prefixed(v, "b_", ["page"]), ["page"]).filter(F.col("a_id") < F.col("b_id"))
+    return pairs.select("a_id", "b_id", g.gap(a, b, False).alias("gap_x"), g.gap(a, b, True).alias("gap_y"), r6(g.distance(a, b)).alias("distance"), r6(g.midpoint_distance(a, b)).alias("middle"), g.overlap(a, b, False).alias("shared_x"), g.perimeter(a).alias("perimeter"), p.contains(a, b).alias("holds"))
+
+
+@query(None)
+def bbox_overlap_area_page(spark: SparkSession, sf: str) -> DataFrame:
+    """Shared areas of all pairs of a page that meet, whatever their groups; other pairs share nothing and have no row."""
+    v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
+    return spatial.intersection(v, v, extra=F.col("a_id") < F.col("b_id")).select("a_id", "b_id", r6(g.overlap_area(Box.of("a_"), Box.of("b_"))).alias("area"))
+
+
 @query("SELECT o.page, o.id AS outer_id, i.id AS inner_id FROM v_boxes o JOIN v_boxes i ON o.page = i.page AND o.id <> i.id AND o.x0 <= i.x0 AND o.y0 <= i.y0 AND o.x1 >= i.x1 AND o.y1 >= i.y1", "v_boxes")
 def box_containment(spark: SparkSession, sf: str) -> DataFrame:
     v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
@@ -426,6 +442,12 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.components(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
+@query(None)
+def link_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of the elements that v_links links."""
+    return graph.components(view(spark, sf, "v_links").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))
+
+
 # built pages: every supplier has a page with a schedule, every part a fraction
 
 
