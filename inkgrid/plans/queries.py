@@ -193,8 +193,12 @@ SHAPES = """, shape_lines AS (SELECT page * 1000000 + (id // 16) // 4 AS shape,
     best AS (SELECT q AS shape, c AS match_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY distance, c) AS k FROM scored WHERE distance < 400) WHERE k = 1)"""
 
 
+def _shape() -> Column:
+    return (F.col("page") * 1000000 + F.floor(F.floor(F.col("id") / 16) / 4)).cast("bigint")
+
+
 def _curves(spark: SparkSession, sf: str) -> DataFrame:
-    v = view(spark, sf, "v_segments").withColumn("shape", (F.col("page") * 1000000 + F.floor(F.floor(F.col("id") / 16) / 4)).cast("bigint"))
+    v = view(spark, sf, "v_segments").withColumn("shape", _shape())
     return shapes.curves(v, ["shape", "page"])
 
 
@@ -235,6 +239,14 @@ def shape_votes(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.found_shapes(shapes.votes(v, templates, "shape"), "shape", least=0.4).select("page", "cell_x", "cell_y", "shape", r6(F.col("score")).alias("score"))
 
 
+@query(None)
+def shape_votes_all(spark: SparkSession, sf: str) -> DataFrame:
+    """`shape_votes` with every shape of four lines as a template, numbered as in `line_set_distance_top1`."""
+    v = view(spark, sf, "v_segments")
+    templates = shapes.template_lines(v.withColumn("shape", _shape()), "shape")
+    return shapes.found_shapes(shapes.votes(v, templates, "shape"), "shape", least=0.4).select("page", "cell_x", "cell_y", "shape", r6(F.col("score")).alias("score"))
+
+
 IS_NUMBER = "regexp_full_match(text, '[0-9]*\\.[0-9]+|[0-9]+/[0-9]+|[0-9]+')"
 UNIT_FIRST = "regexp_matches(text, '^(\"|''|feet|foot|inches|inch?$)', 'i')"
 
