@@ -299,11 +299,11 @@ def bezier_lines(pts: list[tuple[Column, Column]], chords: int = 10) -> Column:
 def path_lines(path: Column) -> Column:
     """array of the lines of a path: m moves the pen, l draws, c draws chords, h closes without moving the pen.
 
-    Lines of l and h run from smaller to larger x; other operations draw nothing.
+    The pen starts at the origin.  Lines of l and h run from smaller to larger x; other operations draw nothing.
     """
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
-    nothing = F.lit(None).cast("struct<x: double, y: double>")
-    start = F.struct(nothing.alias("pen"), nothing.alias("first"), F.array().cast(f"array<{LINE}>").alias("lines"))
+    origin = point(F.lit(0.0), F.lit(0.0))
+    start = F.struct(origin.alias("pen"), origin.alias("first"), F.array().cast(f"array<{LINE}>").alias("lines"))
 
     def swapped(a: Column, b: Column) -> Column:
         keep = a["x"] <= b["x"]

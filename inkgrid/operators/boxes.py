@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,15 +60,16 @@ def suppress(boxes: DataFrame, by: Sequence[str], id_col: str = "id", share: flo
         rows = rows.assign(_a=(rows.x1 - rows.x0) * (rows.y1 - rows.y0)).sort_values(["_a", id_col], ascending=[False, True], kind="stable")
         kept: list[int] = []
         values = rows[["x0", "y0", "x1", "y1", "_a"]].to_numpy()
+        every = np.empty_like(values)  # the kept boxes, in its first rows
         for k, (x0, y0, x1, y1, area) in enumerate(values):
-            held = values[kept]
-            w = (held[:, 2].clip(max=x1) - held[:, 0].clip(min=x0)) if len(held) else held[:, 0]
-            h = (held[:, 3].clip(max=y1) - held[:, 1].clip(min=y0)) if len(held) else held[:, 0]
+            held = every[: len(kept)]
+            w, h = np.minimum(held[:, 2], x1) - np.maximum(held[:, 0], x0), np.minimum(held[:, 3], y1) - np.maximum(held[:, 1], y0)
             if touching:
                 covered = ((w >= 0) & (h >= 0)).any()
             else:
                 covered = ((w > 0) & (h > 0) & (w * h > share * area)).any()
             if not covered:
+                every[len(kept)] = values[k]
                 kept.append(k)
         return rows.iloc[kept].drop(columns="_a")
 

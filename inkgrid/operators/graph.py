@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,11 +46,18 @@ def members(elems: DataFrame, column: str, ids: list) -> DataFrame:
     return elems.filter(F.col(column).isin(ids))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; only in local mode may it be unset."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder or "/tmp/checkpoints"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written below the shared checkpoint folder and read again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder}/inkgrid-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/inkgrid-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

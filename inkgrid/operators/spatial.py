@@ -1,6 +1,7 @@
 """Spatial joins on a grid of several levels.
 
-A box lives at the level whose cells are about its size, so it covers at most four of them however large it is; pairs meet in
+A box lives at the level whose cells are about its size, so it covers at most four of them however large it is (boxes beyond the
+coarsest level share one more, of four cells in all); pairs meet in
 an equi-join on (page, level, cell) with the exact predicate as residual, never in a nested loop.  A pair is kept in one cell
 only, so no distinct is needed.  Crowded cells are split by adaptive execution.
 """
@@ -17,6 +18,8 @@ from ..functions import predicates as p
 from ..functions.geometry import Box
 
 CELL, LEVELS = 64.0, 7
+#: Number of the level whose cells are the quadrants of the plane.
+WHOLE = 30
 
 
 def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -27,21 +30,30 @@ def prefixed(df: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
 def _level(b: Box, cell: float, levels: int, spread: int = 1) -> Column:
     """The lowest level on which the box is at most `spread` cells long."""
     size = F.greatest(b.width, b.height, F.lit(0.0)) / spread
-    level = F.lit(levels - 1)
-    for k in range(levels - 2, -1, -1):
+    level = F.lit(WHOLE)
+    for k in range(levels - 1, -1, -1):
         level = F.when(size <= cell * 2**k, k).otherwise(level)
     return level.cast("int")
 
 
 def _step(level: Column, cell: float) -> Column:
-    return F.lit(cell) * F.pow(F.lit(2.0), level)
+    return F.when(level == WHOLE, 1e300).otherwise(F.lit(cell) * F.pow(F.lit(2.0), level))
+
+
+def _at(c: Column, step: Column) -> Column:
+    """Number of the cell that holds a coordinate, infinite ones too."""
+    return F.floor(F.greatest(F.lit(-1e15), F.least(F.lit(1e15), c)) / step).cast("long")
+
+
+def _levels(lowest: Column, levels: int) -> Column:
+    """array: the levels from the lowest one up."""
+    return F.when(lowest < levels, F.concat(F.sequence(lowest, F.greatest(lowest, F.lit(levels - 1))), F.array(F.lit(WHOLE)))).when(lowest <= WHOLE, F.array(F.lit(WHOLE))).otherwise(F.array().cast("array<int>"))
 
 
 def _covered(df: DataFrame, b: Box, cell: float) -> DataFrame:
     """One row for each cell that b covers at column _l."""
     step = _step(F.col("_l"), cell)
-    at = lambda c: F.floor(c / step).cast("long")
-    return df.withColumn("_cx", F.explode(F.sequence(at(b.x0), at(b.x1)))).withColumn("_cy", F.explode(F.sequence(at(b.y0), at(b.y1))))
+    return df.withColumn("_cx", F.explode(F.sequence(_at(b.x0, step), _at(b.x1, step)))).withColumn("_cy", F.explode(F.sequence(_at(b.y0, step), _at(b.y1, step))))
 
 
 def containment(outer: DataFrame, inner: DataFrame, on: Sequence[str] = ("page",), o: str = "o_", i: str = "i_", extra: Column | None = None, cell: float = CELL, levels: int = LEVELS, predicate: Callable[[Box, Box], Column] = p.contains) -> DataFrame:
@@ -51,9 +63,9 @@ def containment(outer: DataFrame, inner: DataFrame, on: Sequence[str] = ("page",
     the corner lies in the outer box.
     """
     a = prefixed(outer, o, on).withColumn("_l", _level(Box.of(o), cell, levels))
-    b = prefixed(inner, i, on).withColumn("_l", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    b = prefixed(inner, i, on).withColumn("_l", F.explode(_levels(F.lit(0), levels)))
     step = _step(F.col("_l"), cell)
-    b = b.withColumns({"_cx": F.floor(F.col(f"{i}x0") / step).cast("long"), "_cy": F.floor(F.col(f"{i}y0") / step).cast("long")})
+    b = b.withColumns({"_cx": _at(F.col(f"{i}x0"), step), "_cy": _at(F.col(f"{i}y0"), step)})
     exact = predicate(Box.of(o), Box.of(i))
     return _covered(a, Box.of(o), cell).join(b, [*on, "_l", "_cx", "_cy"]).filter(exact if extra is None else exact & extra).drop("_l", "_cx", "_cy")
 
@@ -67,14 +79,12 @@ def intersection(left: DataFrame, right: DataFrame, on: Sequence[str] = ("page",
 
     def spread(df: DataFrame, prefix: str, home: bool, skip: int = 0) -> DataFrame:
         rows = prefixed(df, prefix, on).withColumn("_own", _level(Box.of(prefix), cell, levels, span))
-        if not home:
-            rows = rows.filter(F.col("_own") + skip <= levels - 1)
-        at = F.col("_own") if home else F.explode(F.sequence(F.col("_own") + skip, F.lit(levels - 1)))
+        at = F.col("_own") if home else F.explode(_levels(F.col("_own") + skip, levels))
         return _covered(rows.withColumn("_l", at).drop("_own"), Box.of(prefix), cell)
 
     x, y = Box.of(a), Box.of(b)
     step = _step(F.col("_l"), cell)
-    exact = p.intersects(x, y) & (F.col("_cx") == F.floor(F.greatest(x.x0, y.x0) / step)) & (F.col("_cy") == F.floor(F.greatest(x.y0, y.y0) / step))
+    exact = p.intersects(x, y) & (F.col("_cx") == _at(F.greatest(x.x0, y.x0), step)) & (F.col("_cy") == _at(F.greatest(x.y0, y.y0), step))
     exact = exact if extra is None else exact & extra
     keys = [*on, "_l", "_cx", "_cy"]
     coarse_left = spread(left, a, True).join(spread(right, b, False), keys).filter(exact)

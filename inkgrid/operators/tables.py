@@ -7,6 +7,7 @@ joins and windows partitioned by page, so pages run side by side.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,16 +71,31 @@ def cell_texts(elems: DataFrame, by: Sequence[str]) -> DataFrame:
     return rows.select(*by, F.concat_ws(" ", F.transform("lines", lambda v: v["text"])).alias("text"))
 
 
-def extract(elems: DataFrame, key_text: str, header_above: bool = False, has_header: bool = True, by: Sequence[str] = ("page",)) -> DataFrame:
-    """(page, row, col, text): cells of the table of each page that has the key text; row -1 is the header.
+@dataclass(frozen=True)
+class Grid:
+    """The tables of all pages: bands (by, row, top, bottom), columns (by, col, left, right), and the elements inside (framed)."""
+
+    by: list[str]
+    bands: DataFrame
+    columns: DataFrame
+    framed: DataFrame
+
+    def placed(self, elems: DataFrame) -> DataFrame:
+        """Elements with their row and column; those that cross an edge are left out."""
+        inside = elems.join(self.bands, self.by).filter((F.col("y0") >= F.col("bottom") + PADDING) & (F.col("y1") <= F.col("top") - PADDING))
+        return assigned(inside, self.columns, self.by)
+
+
+def grid(elems: DataFrame, key_text: str, header_above: bool = False, has_header: bool = True, by: Sequence[str] = ("page",)) -> Grid:
+    """Rows and columns of the table of each page that has the key text; row -1 is the header.
 
-    A page without a rectangle below its key, or without a line under the header, has no table and gives no rows.
+    A page without a rectangle below its key, or without a line under the header, has no table.
     """
     by = list(by)
     key = first_by_key(elems, elems.sparkSession.createDataFrame([(key_text,)], "key_text string"), by).select(*by, *[F.col(c).alias(f"k{c}") for c in ("x0", "y0", "x1", "y1")])
     high = F.col("ky1") - F.col("ky0")
     corner = F.col("x0").between(F.col("kx0") - 2 * high, F.col("kx1")) & F.col("y1").between(F.col("ky0") - 4 * high, F.col("ky0"))
-    rects = elems.filter(F.col("is_rect")).join(F.broadcast(key), by).filter(corner)
+    rects = elems.filter(F.col("is_rect")).join(key, by).filter(corner)
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     best = rects.groupBy(*by).agg(F.max(F.struct(area.alias("a"), (-F.col("id")).alias("i"), "x0", "y0", "x1", "y1", "ky0")).alias("m"))
     table = best.select(*by, F.col("m.x0").alias("tx0"), F.col("m.y0").alias("ty0"), F.col("m.x1").alias("tx1"), (F.col("m.ky0") if header_above else F.col("m.y1")).alias("ty1"), F.col("m.y1").alias("rect_top"), F.col("m.ky0").alias("ky0"))
@@ -100,11 +116,21 @@ def extract(elems: DataFrame, key_text: str, header_above: bool = False, has_hea
     lines = lines.unionByName(table.select(*by, F.lit(-2).cast("bigint").alias("id"), F.col("ty0").alias("y1")))
     rows = row_bands(lines, by).join(floor, by, "left").filter((F.col("top") > F.coalesce("floor", F.lit(float("-inf")))) & (F.col("top") - F.col("bottom") > 2 * PADDING)).drop("floor")
     bands = rows.select(*by, F.col("band").alias("row"), "top", "bottom").unionByName(header.select(*by, F.lit(-1).alias("row"), F.col("hy1").alias("top"), F.col("hy0").alias("bottom")))
-    drawn = framed.filter(F.col("text").isNotNull() & ~F.col("is_container"))
-    placed = drawn.join(bands, by).filter((F.col("y0") >= F.col("bottom") + PADDING) & (F.col("y1") <= F.col("top") - PADDING))
-    cells = cell_texts(assigned(placed, columns, by), [*by, "row", "col"])
-    grid = bands.select(*by, "row").join(columns.select(*by, "col"), by)
-    return grid.join(cells, [*by, "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
+    return Grid(by, bands, columns, framed)
+
+
+def extract(elems: DataFrame, key_text: str, header_above: bool = False, has_header: bool = True, by: Sequence[str] = ("page",)) -> DataFrame:
+    """(page, row, col, text): cells of the table of each page that has the key text; row -1 is the header."""
+    return extracted(grid(elems, key_text, header_above, has_header, by))
+
+
+def extracted(found: Grid) -> DataFrame:
+    """(by, row, col, text) of every cell of the tables, empty ones too."""
+    by = found.by
+    drawn = found.framed.filter(F.col("text").isNotNull() & ~F.col("is_container"))
+    cells = cell_texts(found.placed(drawn), [*by, "row", "col"])
+    every = found.bands.select(*by, "row").join(found.columns.select(*by, "col"), by)
+    return every.join(cells, [*by, "row", "col"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
 def with_headers(cells: DataFrame, by: Sequence[str] = ("page",)) -> DataFrame:

@@ -413,7 +413,11 @@ def graph_q3_keys(spark: SparkSession, sf: str) -> DataFrame:
     return graph.keys_linked(view(spark, sf, "v_elems"), view(spark, sf, "v_links"))
 
 
-@query("SELECT c.from_id AS id, c.to_id AS row_id, CASE WHEN o.link_type = 'cell_of_row' THEN 'sibling' ELSE 'instance' END AS kind, o.from_id AS other FROM v_links c JOIN v_links o ON c.to_id = o.to_id AND c.from_id <> o.from_id WHERE c.link_type = 'cell_of_row'", "v_links")
+@query(
+    """, l AS MATERIALIZED (SELECT * FROM v_links), c AS MATERIALIZED (SELECT from_id AS id, to_id AS row_id FROM l WHERE link_type = 'cell_of_row')
+    SELECT id, row_id, CASE WHEN link_type = 'cell_of_row' THEN 'sibling' ELSE 'instance' END AS kind, from_id AS other FROM c JOIN l ON row_id = to_id WHERE id <> from_id""",
+    "v_links",
+)
 def graph_hover(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hover(view(spark, sf, "v_elems"), view(spark, sf, "v_links"))
 
@@ -535,7 +539,15 @@ def cycles_circle_hexagon(spark: SparkSession, sf: str) -> DataFrame:
     return outlines(outline_pages(base(spark, sf, "supplier"))).select("page", "kind", "n", F.array_min("ids").alias("first_id"))
 
 
-@query(None)
+@query(
+    """, ranked AS (SELECT *, (x1 - x0) * (y1 - y0) AS a, row_number() OVER (PARTITION BY page ORDER BY (x1 - x0) * (y1 - y0) DESC, id) AS k FROM v_boxes),
+    walk AS (SELECT page, k, [{'id': id, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}] AS kept FROM ranked WHERE k = 1
+      UNION ALL SELECT w.page, r.k, CASE WHEN len(list_filter(w.kept, lambda h: least(h.x1, r.x1) > greatest(h.x0, r.x0) AND least(h.y1, r.y1) > greatest(h.y0, r.y0)
+        AND (least(h.x1, r.x1) - greatest(h.x0, r.x0)) * (least(h.y1, r.y1) - greatest(h.y0, r.y0)) > 0.9::DOUBLE * r.a)) > 0 THEN w.kept
+        ELSE list_append(w.kept, {'id': r.id, 'x0': r.x0, 'y0': r.y0, 'x1': r.x1, 'y1': r.y1}) END FROM walk w JOIN ranked r ON r.page = w.page AND r.k = w.k + 1)
+    SELECT page, unnest(list_transform(kept, lambda h: h.id)) AS id FROM walk WHERE (page, k) IN (SELECT page, max(k) FROM ranked GROUP BY page)""",
+    "v_boxes",
+)
 def nms_intended(spark: SparkSession, sf: str) -> DataFrame:
     return boxes.suppress(view(spark, sf, "v_boxes"), ["page"]).select("page", "id")
 
@@ -550,7 +562,7 @@ def streaming_progress(spark: SparkSession, sf: str) -> DataFrame:
 
     from ..streaming.progress import latest_progress
 
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints'}/inkgrid-stream-{uuid.uuid4().hex}"
+    folder = f"{graph.shared_folder(spark)}/inkgrid-stream-{uuid.uuid4().hex}"
     events = spark.readStream.schema(base(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     kind = F.col("event_type")
     updates = events.select(F.col("user_id").alias("pdf_id"), F.col("event_id").alias("seq"), "ts", F.when(kind.isin("view", "click"), F.col("event_id")).alias("curr_step"), F.when(kind == "error", F.col("props")).alias("msg"), F.when(kind == "purchase", F.lit(True)).alias("success"))

@@ -20,6 +20,14 @@ SELECT o_orderkey AS id, o_orderkey % 16 AS page,
   CAST((o_orderkey*29)%500 + o_custkey%41 - 20 AS DOUBLE) AS x1,
   CAST((o_orderkey*53)%400 + (o_orderkey*7)%41 - 20 AS DOUBLE) AS y1
 FROM orders""",
+    # a segment and a second line derived from it
+    "v_twins": """
+SELECT id, page, x0, y0, x1, y1, x0 + (id % 7 - 3) * 6 AS bx0, y0 + (id % 5 - 2) * 8 AS by0, x1 + (id % 11 - 5) * 4 AS bx1, y1 - (id % 3) * 9 AS by1
+FROM (SELECT o_orderkey AS id, o_orderkey % 16 AS page,
+  CAST((o_orderkey*29)%500 AS DOUBLE) AS x0, CAST((o_orderkey*53)%400 AS DOUBLE) AS y0,
+  CAST((o_orderkey*29)%500 + o_custkey%41 - 20 AS DOUBLE) AS x1,
+  CAST((o_orderkey*53)%400 + (o_orderkey*7)%41 - 20 AS DOUBLE) AS y1
+FROM orders) s""",
     "v_labels": """
 SELECT p_partkey AS id, p_partkey % 8 AS page,
   CASE p_partkey % 12 WHEN 0 THEN '3/4' WHEN 1 THEN CAST(p_size AS VARCHAR(10)) WHEN 2 THEN '1.5' WHEN 3 THEN '.5'

@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from inkgrid.functions import geometry as g
 from inkgrid.operators import boxes, cycles, graph, rules, shapes, spatial, summary, tables, words
 from inkgrid.plans.queries import outline_pages
 from inkgrid.sources import elements
@@ -208,3 +209,42 @@ def test_set_distances_equal_the_expression(spark):
     native = [r.d for r in df.select(g.line_set_distance(F.col("a"), F.col("b")).alias("d")).collect()]
     table = df.toArrow().combine_chunks()
     assert shapes.set_distances(table["a"].chunk(0), table["b"].chunk(0)).tolist() == pytest.approx(native)
+
+
+def test_boxes_of_any_size_meet(spark):
+    """Sizes from a point to the whole plane, infinite sides included: the grid joins equal a comparison of all pairs."""
+    import random
+
+    rnd = random.Random(4)
+    far = float("inf")
+    rows = [(1, k, *(lambda x, y, w: (x, y, x + w, y + w))(rnd.uniform(-9e3, 9e3), rnd.uniform(-9e3, 9e3), rnd.choice((0, 1, 60, 500, 5e3, 2e4)))) for k in range(80)]
+    rows += [(1, 100, -far, 0.0, far, 10.0), (1, 101, 5.0, -far, 6.0, far), (1, 102, -far, -far, far, far), (1, 103, -1e12, -1e12, 1e12, 1e12)]
+    boxes_ = spark.createDataFrame(rows, "page int, id int, x0 double, y0 double, x1 double, y1 double")
+    meets = {(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and a[2] <= b[4] and b[2] <= a[4] and a[3] <= b[5] and b[3] <= a[5]}
+    holds = {(a[1], b[1]) for a in rows for b in rows if a[1] != b[1] and a[2] <= b[2] and a[3] <= b[3] and a[4] >= b[4] and a[5] >= b[5]}
+    got = spatial.intersection(boxes_, boxes_, extra=F.col("a_id") != F.col("b_id")).select("a_id", "b_id").collect()
+    assert len(got) == len(meets) and {tuple(r) for r in got} == meets
+    got = spatial.containment(boxes_, boxes_, extra=F.col("o_id") != F.col("i_id")).select("o_id", "i_id").collect()
+    assert len(got) == len(holds) and {tuple(r) for r in got} == holds
+
+
+def test_pen_starts_at_the_origin(spark):
+    path = F.array(F.struct(F.lit("l").alias("op"), F.array(F.struct(F.lit(3.0).alias("x"), F.lit(4.0).alias("y"))).alias("pts")))
+    line = spark.range(1).select(F.explode(g.path_lines(path)).alias("l")).first()["l"]
+    assert tuple(line) == (0.0, 0.0, 3.0, 4.0)
+
+
+def test_document_runs(spark):
+    """Documents without tables have neither rows nor finds; the JSON holds every schedule, page and row."""
+    import json
+
+    from inkgrid.plans import document
+
+    suppliers = spark.createDataFrame([(3,), (4,)], "s_suppkey long")
+    elems, curves = document.documents(suppliers)
+    rows, found = document.run(elems.filter("page in (2, 8)"), curves, document.symbol_library(spark))
+    assert rows.count() == 0 and found.count() == 0
+    rows, found = document.run(elems, curves, document.symbol_library(spark))
+    got = {r.doc: json.loads(r.summary) for r in document.summary.schedules_document(rows, found.select("doc", "schedule", "page", "row", "found_page", "label")).collect()}
+    assert got[3].keys() == {"doors", "lighting"} and got[4].keys() == {"doors", "windows", "lighting"}
+    assert got[4]["doors"].keys() == {"1", "7"} and [c["key"] for c in got[4]["windows"]["3"][0]["cells"]] == ["Mark", "Name", "Symbol"]
