@@ -1,12 +1,18 @@
 """Main text of web pages.
 
-The standard library's parser streams its events; block elements cut a page into lines of text.  Each line's ratio of text to
-tags is smoothed with a Gaussian over its neighbours, and two-means clustering of the smoothed values sets the threshold that
-selects content regions.  A region is widened to the article it lies in; lines of menus, headers, footers, sidebars, notices,
-adverts, forms and reader comments, known by element, role or class name, never belong to it.
-
-Defined results: a null or empty page has an empty text; broken, unclosed or truncated markup is read as far as it goes;
-long pages are read whole; rows are independent, so repeated rows give equal texts; other columns are kept by `with_text`.
+The standard library's parser streams its events; block elements cut a page into lines of text, each with the tags met, the text
+inside links and the container (article, division, cell) it stands in.  A line's ratio of text outside links to tags is smoothed
+with a Gaussian over neighbours of its own kind; two-means clustering of the smoothed values sets the threshold that selects
+content lines.  The smallest container that holds nearly all selected text, widened to the article it lies in, is the content
+region; inside it short paragraphs and headings stay, and containers that are mostly links or mostly tags go.
+
+Element names, roles and class names are a prior only: text under navigation, headers, footers, asides, forms, notices, adverts or
+comments counts a fifth, so it goes where the page holds denser text outside them, and stays where it is all the page has (an
+article inside a page-wide form).  Scripts, styles, controls and hidden elements are no text at all.
+
+Defined results: a null or empty page has an empty text, and so has a page of nothing but menus, footers and the like; broken,
+unclosed or truncated markup is read as far as it goes; long and deep pages are read whole in time that grows with their length;
+rows are independent, so repeated rows give equal texts; other columns are kept by `with_text`.
 """
 
 from __future__ import annotations
@@ -24,97 +30,118 @@ from ._text import settled
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose text is never content.
-AWAY = frozenset("aside audio button canvas dialog footer form head header iframe map math menu nav noscript object search select script style svg template textarea title video".split())
-#: Words of class names and ids that mark the same.
-AWAY_WORDS = frozenset(
-    "ad ads adbox advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline carousel comment comments commentlist consent cookie cookies disclaimer discussion disqus feedback footer form gdpr header hidden login masthead menu modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination paywall popup promo promotion reactions recommended related replies reply respond search share sharebar sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toc toolbar topbar trending widget widgets".split()
+#: Elements that are never shown as text of the page: code, controls, embedded media, metadata.
+NO_TEXT = frozenset("audio button canvas datalist head iframe map math noscript object option script select style svg template textarea title video".split())
+#: Elements whose text seldom is content.
+SELDOM = frozenset("aside dialog footer form header menu nav search".split())
+#: Words of class names and ids that say the same, and words that may stand beside them in such a name.
+SELDOM_WORDS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising adsense banner billboard breadcrumb breadcrumbs byline carousel comment comments commentlist consent cookie cookies disclaimer discussion disqus feedback footer form gdpr header login masthead menu modal nav navbar navigation navi newsletter notice notices notification overlay pager pagination paywall popup promo promotion reactions recommended related replies reply respond search share sharebar sharing sidebar signup skyscraper social sponsor sponsored subscribe subscription teaser toc toolbar topbar trending widget widgets".split()
 )
-AWAY_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PLAIN_WORDS = frozenset("a above area b bar bars below block body bottom box btn button buttons col column container content cont global google holder i inner item items left link links list main middle module more new of page pages panel panels post posts primary right row secondary section site slot sub text the thread to top unit wrap wrapper".split())
+ADS = frozenset("ad ads adbox advert adverts advertisement advertising adsense comment comments sponsor sponsored".split())
+SELDOM_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 HOME = frozenset(("article", "main"))
+#: Elements that hold regions; others belong to the container around them.
+CONTAINER = frozenset("article aside body center dialog div fieldset footer form header html main menu nav search section td th".split())
+#: Elements of running text, which only adverts and comments mark by their names.
+RUNNING = frozenset("blockquote dd dt figcaption figure h1 h2 h3 h4 h5 h6 li p pre table tbody td th thead tr".split())
 #: A start tag of the key ends an open element of the value, as browsers do.
 ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 WORDS = re.compile(r"[A-Za-z]+")
 HUMPS = re.compile(r"(?<=[a-z])(?=[A-Z])")
 SIGMA, REACH = 1.0, 2
+#: What a mark makes of a line's ratio, and the share of selected text that the content region holds.
+PRIOR, SHARE = 0.2, 0.9
 
 
-def _marked(attrs: list[tuple[str, str | None]]) -> bool:
-    for name, value in attrs:
-        if name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true":
+def _named(value: str, words: frozenset[str]) -> bool:
+    """Is one of the names made of these words, beside plain ones?"""
+    for name in value.split():
+        own = {w.lower() for w in WORDS.findall(HUMPS.sub(" ", name))}
+        if own & words and own <= words | SELDOM_WORDS | PLAIN_WORDS:
             return True
-        if not value:
-            continue
-        if name in ("class", "id"):
-            if any(w.lower() in AWAY_WORDS for w in WORDS.findall(HUMPS.sub(" ", value))):
-                return True
-        elif name == "role":
-            if value.strip().lower() in AWAY_ROLES:
-                return True
-        elif name == "style" and "display:none" in value.replace(" ", "").lower():
+    return False
+
+
+def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+    for name, value in attrs:
+        if name == "hidden" or name == "aria-hidden" and (value or "").lower() == "true" or name == "style" and "display:none" in (value or "").replace(" ", "").lower():
             return True
     return False
 
 
+def _marked(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    words = ADS if tag in RUNNING else SELDOM_WORDS
+    return any(value and (name in ("class", "id") and _named(value, words) or name == "role" and value.strip().lower() in SELDOM_ROLES) for name, value in attrs)
+
+
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags met, text inside links, number of the article, or 0)."""
+    """Collects lines: (text, tags met, text inside links, marks above it, container, heading); containers by (parent, home)."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int]] = []
-        self.open: list[tuple[str, bool, int]] = []  # element, whether it turns text away, article
-        self.away = 0
-        self.links = 0
-        self.home = 0
-        self.homes = 0
+        self.lines: list[tuple[str, int, int, int, int, bool]] = []
+        self.open: list[tuple[str, bool, int, int]] = []  # element, whether it turns text away, marks and container around it
+        self.where: dict[str, list[int]] = {}  # places of open elements by name
+        self.blocks: list[int] = []
+        self.homes: list[int] = []
+        self.parent, self.is_home = [-1], [False]
+        self.away = self.links = self.marks = self.heads = self.container = 0
+        self.seen_home = False
         self.text: list[str] = []
-        self.tags = 0
-        self.linked = 0
+        self.tags = self.linked = 0
 
     def cut(self) -> None:
         if self.text:
             line = " ".join("".join(self.text).split())
             if line:
-                self.lines.append((line, self.tags, self.linked, self.home))
+                self.lines.append((line, self.tags, self.linked, self.marks, self.container, self.heads > 0))
             self.text, self.linked = [], 0
         self.tags = 0
 
     def leave(self, place: int) -> None:
         """Closes all elements from this place of the stack on."""
-        for tag, away, home in self.open[place:][::-1]:
+        while len(self.open) > place:
+            tag, away, self.marks, self.container = self.open.pop()
+            self.where[tag].pop()
             self.away -= away
             self.links -= tag == "a"
-            self.home = home
-        del self.open[place:]
+            self.heads -= tag in ("h1", "h2")
+            for places in (self.blocks, self.homes):
+                if places and places[-1] == len(self.open):
+                    places.pop()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        block = tag in BLOCK
-        if block:
+        if tag in BLOCK:
             self.cut()
         self.tags += 1
         if tag == "br":
             self.text.append(" ")
         if tag in VOID:
             return
-        ends = ENDS.get(tag)
-        if ends:
-            for place in range(len(self.open) - 1, max(-1, len(self.open) - 8), -1):
-                if self.open[place][0] in ends:
-                    self.leave(place)
-                    break
-                if self.open[place][0] in BLOCK:
-                    break
-        away = tag in AWAY and not (tag == "header" and self.home) or bool(attrs) and tag not in ("html", "body") and _marked(attrs)
-        if tag in HOME and not away and self.away and not any(t in ("aside", "nav", "footer", "template", "noscript") for t, a, _ in self.open if a):
-            # an article does not stand inside an advert or a notice: that one was left open
-            self.leave(next(k for k, (_, a, _) in enumerate(self.open) if a))
-        self.open.append((tag, away, self.home))
+        if tag in ENDS and self.blocks and self.open[self.blocks[-1]][0] in ENDS[tag]:
+            self.leave(self.blocks[-1])
+        away = tag in NO_TEXT or tag not in ("html", "body") and _hidden(attrs)
+        place = len(self.open)
+        self.open.append((tag, away, self.marks, self.container))
+        self.where.setdefault(tag, []).append(place)
         self.away += away
         self.links += tag == "a"
-        if tag in HOME and not self.home:
-            self.homes += 1
-            self.home = self.homes
+        self.heads += tag in ("h1", "h2")
+        if tag in BLOCK:
+            self.blocks.append(place)
+        marked = tag not in ("html", "body") and (tag in SELDOM and not (tag == "header" and self.homes) or _marked(tag, attrs))
+        if tag in HOME:
+            if not marked and not self.seen_home and not any(self.where.get(t) for t in ("aside", "nav", "footer")):
+                self.marks = 0  # the page's article does not stand inside a form, an advert or a notice: that one wraps all or was left open
+            self.seen_home = True
+            self.homes.append(place)
+        self.marks += marked
+        if tag in CONTAINER:
+            self.parent.append(self.container)
+            self.is_home.append(tag in HOME)
+            self.container = len(self.parent) - 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -123,12 +150,10 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in BLOCK:
             self.cut()
-        for place in range(len(self.open) - 1, -1, -1):
-            if self.open[place][0] == tag:
-                self.leave(place)
-                return
-            if self.open[place][0] in HOME and tag not in BLOCK:
-                return
+        places = self.where.get(tag)
+        # text marks left open do not reach out of an article
+        if places and (tag in BLOCK or not self.homes or self.homes[-1] < places[-1]):
+            self.leave(places[-1])
 
     def handle_data(self, data: str) -> None:
         if not self.away:
@@ -151,45 +176,70 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def smooth(values: np.ndarray) -> np.ndarray:
-    """Gaussian smoothing over the lines; the weights of missing neighbours are left out."""
-    at = np.arange(-REACH, REACH + 1)
-    kernel = np.exp(-(at**2) / (2 * SIGMA**2))
-    total = np.convolve(np.ones(len(values)), kernel)[REACH : REACH + len(values)]
-    return np.convolve(values, kernel)[REACH : REACH + len(values)] / total
+def smooth(values: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """Gaussian smoothing over neighbouring lines of the same kind; the weights of other neighbours are left out."""
+    total, out = np.ones(len(values)), values.astype(float).copy()
+    for step in range(1, min(REACH, len(values) - 1) + 1):
+        weight = np.exp(-(step**2) / (2 * SIGMA**2)) * (kind[step:] == kind[:-step])
+        out[step:] += weight * values[:-step]
+        out[:-step] += weight * values[step:]
+        total[step:] += weight
+        total[:-step] += weight
+    return out / total
+
+
+def selected(size: np.ndarray, tags: np.ndarray, linked: np.ndarray, marks: np.ndarray, container: np.ndarray, heading: np.ndarray, parent: list[int], is_home: list[bool]) -> np.ndarray:
+    """Which lines are content, from what the parser saw of each."""
+    plain = np.maximum(0, size - linked)
+    ratio = np.log1p(plain / np.maximum(1, tags)) * PRIOR ** np.minimum(marks, 2)
+    cut = threshold(ratio_smooth := smooth(ratio, marks))
+    if cut < 0 and marks.all():
+        return np.zeros(len(size), bool)
+    chosen = ratio_smooth > cut
+    home = np.full(len(parent), -1)
+    for k in range(1, len(parent)):  # a container's number is above its parent's
+        home[k] = k if is_home[k] else home[parent[k]]
+    inside = home[container] >= 0
+    if (inside & (marks == 0)).any():  # an article of thin text is still the page's article
+        chosen = chosen & inside if (chosen & inside).any() else inside & (marks == 0)
+    # the smallest container of nearly all selected text
+    held = np.bincount(container, weights=size * chosen, minlength=len(parent))
+    for k in range(len(parent) - 1, 0, -1):
+        held[parent[k]] += held[k]
+    region = max(k for k in range(len(parent)) if held[k] >= SHARE * held[0])
+    region = home[region] if home[region] >= 0 else region
+    under = np.zeros(len(parent), bool)
+    for k in range(len(parent)):
+        under[k] = k == region or k > 0 and under[parent[k]]
+    keep = under[container]
+    if inside.any() and home[region] < 0:  # several articles
+        keep &= np.isin(home[container], np.unique(home[container[chosen]]))
+    # containers inside it that are mostly links, or tags with hardly any text
+    lines, text, open_, met = (np.bincount(container, weights=w, minlength=len(parent)) for w in (np.ones(len(size)), size, plain, np.maximum(1, tags)))
+    thin = (np.arange(len(parent)) != region) & ((2 * open_ < text) | (lines > 1) & (np.log1p(open_ / np.maximum(1, met)) < cut / 2))
+    keep &= chosen | (marks == 0) & ~thin[container]
+    first = int(np.flatnonzero(keep)[0]) if keep.any() else 0
+    for k in range(first - 1, max(-1, first - 4), -1):  # the headline just above the region
+        if heading[k] and not marks[k] and not linked[k] and not inside[first]:
+            keep[k] = True
+            break
+    return keep
 
 
 def main_text(html: str | None) -> str:
-    """The page's main text: lines of its content regions, joined by blank lines."""
+    """The page's main text: lines of its content region, joined by blank lines."""
     if not html:
         return ""
     parser = _Lines()
     parser.feed(html)
     parser.close()
     parser.cut()
-    lines = parser.lines
-    if not lines:
+    if not parser.lines:
         return ""
-    size = np.array([len(x) for x, _, _, _ in lines], dtype=float)
-    linked = np.array([k for _, _, k, _ in lines], dtype=float)
-    ratio = np.log1p(np.maximum(0, size - linked) / np.array([max(1, t) for _, t, _, _ in lines]))
-    value = smooth(ratio)
-    chosen = value > threshold(value)
-    home = np.array([h for _, _, _, h in lines])
-    inside = {h for h in home[chosen].tolist() if h}
-    if inside or home.any():
-        # the articles that hold a selected region, whole
-        inside = inside or set(home[home > 0].tolist())
-        keep = np.isin(home, list(inside))
-    else:
-        where = np.flatnonzero(chosen)
-        keep = np.zeros(len(lines), bool)
-        keep[where[0] : where[-1] + 1] = True
-        # a heading just above the region belongs to it; lists of links inside do not
-        keep &= (linked <= 0.5 * size) | chosen
-        if where[0] and parser.homes == 0 and linked[where[0] - 1] == 0 and size[where[0] - 1] < 200:
-            keep[where[0] - 1] = True
-    return "\n\n".join(x for (x, _, _, _), k in zip(lines, keep.tolist(), strict=True) if k)
+    text, *seen = zip(*parser.lines, strict=True)
+    tags, linked, marks, container, heading = map(np.array, seen)
+    keep = selected(np.array([len(x) for x in text], dtype=float), tags, linked.astype(float), marks, container, heading, parser.parent, parser.is_home)
+    return "\n\n".join(x for x, k in zip(text, keep.tolist(), strict=True) if k)
 
 
 def text_column(html: Column | str) -> Column:
