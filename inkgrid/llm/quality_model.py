@@ -1,8 +1,9 @@
 """Quality classifier by compression.
 
-Two zstandard dictionaries are built from texts labelled good and bad.  A text is compressed in blocks with either one; how
-much smaller the good dictionary makes it than the bad one, divided by the compressed sizes, is calibrated to a probability
-by a logistic fit on labelled texts that were not used for the dictionaries.
+Two zstandard dictionaries are built from texts labelled good and bad.  A text is compressed in blocks with either one.  The
+normalised difference of two sizes x and y is (x - y) / (x + y); it is taken of the sizes with the bad and with the good
+dictionary, and of the plain and the good one, each over the whole text and in its worst block.  These differences alone are
+calibrated to a probability by a logistic fit on labelled texts that were not used for the dictionaries.
 
 Defined results: a null text is empty, an empty text gets the calibrated score of size 0; a long text is read whole, block by
 block; rows are independent, so repeated rows score alike; rows of `labels` with a null id or label teach nothing; without
@@ -12,6 +13,7 @@ texts of both labels every score is the share of good labels (0.5 without labels
 from __future__ import annotations
 
 import pickle
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -69,7 +71,7 @@ class QualityModel:
         return {k: v for k, v in self.__dict__.items() if k != "_tools"}
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        """Of each text: normalised size difference over all blocks and of the worst block, compressed share likewise, log size."""
+        """Normalised size differences of each text, over all blocks and in its worst block: good against bad, good against raw."""
         (good, g0), (bad, b0) = self._open()
         g, b, n, first = [], [], [], []
         for t in texts:
@@ -79,28 +81,33 @@ class QualityModel:
                 g.append(len(good.compress(part)) - g0)
                 b.append(len(bad.compress(part)) - b0)
                 n.append(len(part))
-        g, b, n = (np.array(x, dtype=float) for x in (g, b, n))
-        first = np.array(first)
-        sum_g, sum_b, sum_n = (np.add.reduceat(x, first) for x in (g, b, n))
-        share = 0.45 * SHRINK
-        return np.stack([(sum_b - sum_g) / (sum_b + sum_g + SHRINK), np.minimum.reduceat((b - g) / (b + g + SHRINK), first), (sum_g + share) / (sum_n + SHRINK), np.minimum.reduceat((g + share) / (n + SHRINK), first), np.log(sum_n + SHRINK)], axis=1)
+        g, b, n, first = (np.array(x, dtype=t) for x, t in ((g, float), (b, float), (n, float), (first, np.int64)))
+        out = []
+        for x, y in ((b, g), (n, g)):
+            whole_x, whole_y = np.add.reduceat(x, first), np.add.reduceat(y, first)
+            out += [(whole_x - whole_y) / (whole_x + whole_y + SHRINK), np.minimum.reduceat((x - y) / (x + y + SHRINK), first)]
+        return np.stack(out, axis=1)
 
     def _design(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale
         k = x.shape[1]
         return np.column_stack([z, *(z[:, i] * z[:, j] for i in range(k) for j in range(i, k)), np.ones(len(z))])
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 60) -> None:
-        """Penalised logistic fit by Newton steps."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 100) -> None:
+        """Penalised logistic fit by Newton steps, each halved until the loss falls."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         a = self._design(x)
+        loss = lambda w: (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (a @ w))).sum() + 0.05 * w @ w
         w = np.zeros(a.shape[1])
+        now = loss(w)
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-            s = weight * (p * (1 - p) + 1e-6)
+            s = weight * p * (1 - p)
             step = np.linalg.solve((a * s[:, None]).T @ a + 0.1 * np.eye(len(w)), a.T @ (weight * (p - y)) + 0.1 * w)
-            w -= step
-            if np.abs(step).max() < 1e-9:
+            while (fresh := loss(w - step)) > now and np.abs(step).max() > 1e-9:
+                step = step / 2
+            w, now = w - step, fresh
+            if np.abs(step).max() < 1e-8:
                 break
         self.weights = w
 
@@ -135,7 +142,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not good or good == seen:
         return model
     spark = docs.sparkSession
-    ids = [r for y in (0, 1) for half in (0, 1) for r in known.filter((F.col("y") == y) & (F.col("half") == half)).orderBy("h", "i").limit(sample_texts).collect()]
+    # one scan: the smallest hashes of each group, about twice as many as are taken
+    place = F.shiftrightunsigned("h", 1) / F.lit(float(1 << 63))
+    near = F.lit(False)
+    for (y, half), n in counts.items():
+        near = near | (F.col("y") == y) & (F.col("half") == half) & (place <= (2 * sample_texts + 100) / n)
+    ids, taken = [], Counter()
+    for r in sorted(known.filter(near).withColumn("place", place).collect(), key=lambda r: (r["place"], r["i"])):
+        taken[r["y"], r["half"]] += 1
+        if taken[r["y"], r["half"]] <= sample_texts:
+            ids.append(r)
     chosen = spark.createDataFrame([(r["i"], r["y"], r["half"], r["h"]) for r in ids], "i " + dict(labels.dtypes)[id_col] + ", y int, half int, h long")
     texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     sized = texts.join(F.broadcast(chosen), "i").groupBy("i", "y", "half", "h").agg(F.max(F.octet_length("t")).alias("n"), F.min(F.xxhash64("t")).alias("v"))
