@@ -1,11 +1,14 @@
 """Quality rules under weak supervision.
 
-Every rule looks at counts of a text and votes good, bad or abstains.  The votes of all documents are counted by pattern
-(at most 3**rules patterns, whatever the input), expectation-maximisation on these counts estimates how accurate each rule is
-and how many documents are good, and a document is kept if its posterior probability of being good is at least the threshold.
-
-Defined results: a null or empty text has no words, so it fails the base; long texts are read whole; repeated rows get the
-same verdict and each counts as a document in the estimates; an empty table gives no rows; other columns are not read.
+Every rule looks at counts of a text and votes good, bad or abstains; no rule repeats what the base already fails.  The votes of
+all documents that pass the base are counted by pattern (at most 3**rules patterns, whatever the input).  Expectation-maximisation on these counts
+starts from the majority of votes and learns from the rules' agreement how often each one votes bad among good and among bad
+documents, and how many documents are good.  A vote weighs as much as its rule was found to tell the two apart, so accurate
+rules outvote others; a document is kept if its posterior probability of being good is at least the threshold.
+
+Defined results: a null or empty text has no words, so it fails the base, and every rule abstains on it; long texts are read
+whole; repeated rows get the same verdict and each counts as a document in the estimates; an empty table gives no rows, and
+without a document that passes the base no vote weighs anything; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from ._tables import bounded_batches, written
 from ._text import U64, WHITE, flat, mix, runs, settled, shingles, spans_hash, words
 
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_marks", "n_bare"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_stops", "n_marks", "n_bare", "n_points", "n_echo"]
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
@@ -63,8 +66,13 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
         out["n_letters"].append(_of(letter, offsets))
         out["n_stops"].append(_of((raw == ord(".")) | (raw == ord(",")), offsets))
         out["n_marks"].append(_of(raw == ord("!"), offsets))
-        inked = np.r_[0, np.cumsum(letter | (raw >= 128) | ((raw >= 48) & (raw <= 57)))]
+        digit = (raw >= ord("0")) & (raw <= ord("9"))
+        out["n_points"].append(_of((raw < 128) & ~letter & ~digit & ~WHITE[raw], offsets))
+        inked = np.r_[0, np.cumsum(letter | digit | (raw >= 128))]
         out["n_bare"].append(np.bincount(doc[inked[end] == inked[start]], minlength=n))
+        key = spans_hash(raw, start, end, fold=False)
+        echo = (key[1:] == key[:-1]) & (doc[1:] == doc[:-1])
+        out["n_echo"].append(np.bincount(doc[1:][echo], minlength=n))
         # lines
         breaks = np.flatnonzero(raw == 10)
         line_start = np.sort(np.concatenate([offsets[:-1], breaks + 1]), kind="stable")
@@ -79,9 +87,9 @@ def count_texts(texts: pa.Array) -> dict[str, np.ndarray]:
         if len(start) >= 5:
             spot = np.flatnonzero(doc[:-4] == doc[4:])
             long_enough = np.where(count >= 5, first[1:] - first[:-1], 0)
-            wdoc, key = shingles(spans_hash(raw, start, end, fold=False), first)
+            wdoc, window = shingles(key, first)
             full = long_enough[wdoc] > 0
-            twice, _ = _repeated(wdoc[full], key[full])
+            twice, _ = _repeated(wdoc[full], window[full])
             cover = np.zeros(len(start) + 1, np.int64)
             np.add.at(cover, spot[twice], 1)
             np.add.at(cover, spot[twice] + 5, -1)
@@ -114,44 +122,43 @@ class Rule:
         return F.when(F.expr(self.bad), -1).when(F.expr(self.good), 1).otherwise(0)
 
 
+#: What fails whatever the rules say.
+BASE = "n_words < 10 or 100 * n_repeat_words > 20 * n_words"
 RULES = [
-    Rule("length", "n_words < 10", "n_words >= 20"),
-    Rule("word_size", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 10 * n_words"),
-    Rule("symbols", "10 * n_symbols > n_words", "50 * n_symbols <= n_words"),
-    Rule("heavy_symbols", "n_symbols > n_words", "20 * n_symbols <= n_words"),
-    Rule("same_lines", "2 * n_dup_lines > n_lines", "5 * n_dup_lines <= n_lines"),
-    Rule("returns", "20 * n_repeat_words > 9 * n_words", "10 * n_repeat_words <= 3 * n_words"),
-    Rule("shouting", "10 * n_upper > 4 * n_letters", "10 * n_upper <= n_letters"),
-    Rule("stops", "n_words >= 50 and 100 * n_stops < n_words", "30 * n_stops >= n_words"),
-    Rule("marks", "10 * n_marks > n_words", "100 * n_marks <= n_words"),
-    Rule("bare_words", "5 * n_bare > n_words", "20 * n_bare <= n_words"),
+    Rule("length", "n_words between 1 and 19", "n_words >= 50"),
+    Rule("word_size", "2 * word_chars < 5 * n_words or word_chars > 10 * n_words", "word_chars between 3 * n_words and 7 * n_words and n_words > 0"),
+    Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words and n_words > 0"),
+    Rule("points", "7 * n_points > word_chars", "12 * n_points <= word_chars and n_words > 0"),
+    Rule("bare_words", "5 * n_bare > n_words", "20 * n_bare <= n_words and n_words > 0"),
+    Rule("same_lines", "10 * n_dup_lines > 3 * n_lines", "10 * n_dup_lines <= n_lines and n_lines > 1"),
+    Rule("returns", "10 * n_repeat_words > n_words", "25 * n_repeat_words <= n_words and n_words > 0"),
+    Rule("shouting", "10 * n_upper > 3 * n_letters", "20 * n_upper <= 3 * n_letters and n_letters > 0"),
+    Rule("stops", "n_words >= 50 and 50 * n_stops < n_words", "20 * n_stops >= n_words and n_words > 0"),
+    Rule("echo", "10 * n_echo > n_words", "50 * n_echo <= n_words and n_words > 0"),
+    Rule("marks", "10 * n_marks > n_words", "100 * n_marks <= n_words and n_words > 0"),
 ]
-#: Where estimates start and are drawn to, as WEIGHT documents' worth of evidence: the share of bad votes that a rule casts
-#: among bad documents (each kind of junk trips few rules) and among good ones, and the share of good documents.
-START = np.array([0.15, 0.005])
-WEIGHT = 20.0
-SHARE = 0.85
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500) -> tuple[float, np.ndarray]:
     """(share of good documents, rates[rule, class]) by EM; patterns hold -1, 0 and 1.
 
     rates are the shares of bad votes among a rule's votes on bad and on good documents; one minus the latter is its accuracy
-    on good documents.  Abstaining says nothing.  In every round a rule votes bad among bad documents no more rarely than
-    among good ones, which fixes what the two classes mean.
+    on good documents.  Abstaining says nothing.  The first posterior is each pattern's share of good votes.  In every round a
+    rule votes bad among bad documents no more rarely than among good ones, which fixes what the two classes mean.
     """
-    rates = np.repeat(START[None], patterns.shape[1], axis=0)
-    share, total = SHARE, counts.sum()
     against, cast = (patterns == -1).astype(float), (patterns != 0).astype(float)
+    total, votes = counts.sum(), cast.sum(axis=1)
+    good = (0.5 + (patterns == 1).sum(axis=1)) / (1 + votes)
+    share, rates = 0.5, np.full((patterns.shape[1], 2), 0.5)
     for _ in range(rounds):
-        good = posterior(patterns, share, rates)
         weight = np.stack([counts * (1 - good), counts * good])
-        fresh = ((weight @ against + WEIGHT * START[:, None]) / (weight @ cast + WEIGHT)).T
+        fresh = ((weight @ against + 0.5) / (weight @ cast + 1)).T
         wrong = fresh[:, 0] < fresh[:, 1]
         fresh[wrong] = fresh[wrong].mean(axis=1, keepdims=True)
-        fresh_share = float(((good * counts).sum() + SHARE * WEIGHT) / (total + WEIGHT))
-        moved = max(np.abs(fresh - rates).max(), abs(fresh_share - share))
+        fresh_share = float(((good * counts).sum() + 1) / (total + 2))
+        moved = max(np.abs(fresh - rates).max(initial=0), abs(fresh_share - share))
         rates, share = fresh, fresh_share
+        good = posterior(patterns, share, rates)
         if moved < 1e-9:
             break
     return share, rates
@@ -172,21 +179,17 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """(doc_id, the counts, base_failed, p_good, kept) of every row.
 
     One pass in Arrow batches makes the counts, which are written once to the shared folder; votes, pattern counts and the
-    posterior are native.  The only shuffle is the pattern count.
+    posterior are native.  The only shuffle is the pattern count.  Same-named columns cannot clash: only id and text are read.
     """
     rules = rules or RULES
     bounded_batches(docs.sparkSession)
     counted = written(docs.select(F.col(id_col).alias("doc_id"), counts_column(F.col(text_col)).alias("c")).select("doc_id", "c.*"), "rules")
     votes = [f"vote_{r.name}" for r in rules]
-    voted = counted.withColumns({v: r.vote() for v, r in zip(votes, rules, strict=True)})
-    table = voted.groupBy(*votes).agg(F.count("*").alias("n")).collect()
+    voted = counted.withColumns({v: r.vote() for v, r in zip(votes, rules, strict=True)}).withColumn("base_failed", F.expr(BASE))
+    table = voted.filter(~F.col("base_failed")).groupBy(*votes).agg(F.count("*").alias("n")).collect()
     patterns = np.array([[r[v] for v in votes] for r in table], dtype=float).reshape(len(table), len(votes))
     start, add = weights(*estimate(patterns, np.array([r["n"] for r in table], dtype=float)))
     odds = F.lit(start)
     for v, (bad, good) in zip(votes, add.tolist(), strict=True):
         odds = odds + F.when(F.col(v) == -1, bad).when(F.col(v) == 1, good).otherwise(0.0)
-    return (
-        voted.withColumn("base_failed", F.expr("n_words < 10 or 100 * n_repeat_words > 20 * n_words"))
-        .withColumn("p_good", 1 / (1 + F.exp(-odds)))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
-    )
+    return voted.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("kept", ~F.col("base_failed") & (F.col("p_good") >= threshold))
