@@ -1,15 +1,16 @@
 """Line deduplication by probing sharded minimal perfect hashes.
 
-Lines whose key occurs in several documents stay only in the document of smallest id.  The keys' 64-bit hashes are counted
-once; those of repeated lines are dealt into shards by their leading bits, and every shard becomes one row: a minimal perfect
-hash (levels of bit arrays, in which a key's slot is its rank among the set bits) that indexes arrays of fingerprints, document
-counts and first documents.  Hashes of the documents' lines stream past the shards, sorted so that a shard's arrays come
-first; texts are joined only with the few hashes to drop.
+Lines whose key occurs in several documents stay only in the document of smallest id.  Documents stand in batches.  A batch sends
+the distinct 64-bit hashes of its lines' keys, packed by the shard that their leading bits name, with the smallest and largest id
+that holds each.  A shard indexes all its distinct hashes by a minimal perfect hash (levels of bit arrays, in which a key's slot
+is its rank among the set bits) over arrays of compact fingerprints, counts of holders, and first documents of the repeated ones.
+Batches then probe these arrays with their packed hashes: slot, fingerprint, count, first document.  A batch asks for a line once,
+however many of its documents hold it, so frequent lines make no task larger.  Texts are joined only with the hashes to drop.
 
 A key is the line without white space (space, 0x09-0x0D) at both ends, A-Z as a-z; keys of fewer than `least` code points never
 drop.  Defined results: a null or empty text is one empty line; a row with a null id never counts as a holder, and loses the
 lines that repeat among the others; rows of equal id are one document, whose repeated lines within itself stay; an empty table
-gives no rows; other columns are kept.  Ids are integers.
+gives no rows; other columns are kept.  Ids are integers; 64-bit hashes stand for keys.
 """
 
 from __future__ import annotations
@@ -18,16 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._tables import bounded_batches, written
 from ._text import U64, flat, mix, runs, settled, spans_hash, words
 
-#: Keys of a shard on average; the number of shards follows the number of repeated lines.
-SHARD_KEYS = 4096
-#: Each shard is sent to so many tasks, so that a line in a third of all documents does not meet in one.
-SALTS = 8
+#: Hashes that a shard is asked for, on average; the number of shards follows the number of lines.
+SHARD_KEYS = 1 << 17
+#: The largest count that the arrays tell apart.
+MOST = 255
 GAMMA = 1.3
 LEVELS = 48
 
@@ -119,85 +121,168 @@ def line_keys(raw: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np
     return some[long_enough], spans_hash(raw, a[long_enough], b[long_enough])
 
 
-def keys_column(text: Column, least: int) -> Column:
-    """array<bigint>: the distinct key hashes of a text's lines."""
+class LineIndex:
+    """The distinct hashes of a shard: fingerprints and counts by slot, and the first document of each repeated hash in slot order."""
+
+    def __init__(self, tree: PerfectHash, prints: np.ndarray, counts: np.ndarray, firsts: np.ndarray) -> None:
+        self.tree, self.prints, self.counts, self.firsts = tree, prints, counts, firsts
+        self.rank = np.cumsum(counts > 1) - 1
+
+    @staticmethod
+    def _print(keys: np.ndarray) -> np.ndarray:
+        return (mix(keys ^ U64(0xD1B54A32D192ED03)) >> U64(48)).astype("<u2")
+
+    @classmethod
+    def build(cls, keys: np.ndarray, holders: np.ndarray, first: np.ndarray) -> LineIndex:
+        """Of distinct keys, how many documents hold each, and the smallest of these."""
+        tree = PerfectHash.build(keys)
+        place = tree.index(keys)
+        prints, counts, firsts = np.empty(len(keys), "<u2"), np.empty(len(keys), np.uint8), np.empty(len(keys), "<i8")
+        prints[place], counts[place], firsts[place] = cls._print(keys), np.minimum(holders, MOST), first
+        return cls(tree, prints, counts, firsts[counts > 1])
+
+    def probe(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(is it held by several documents, the first of them or 0) of each key."""
+        place = self.tree.index(keys)
+        found = place >= 0
+        found[found] = self.prints[place[found]] == self._print(keys[found])
+        found[found] = self.counts[place[found]] > 1
+        first = np.zeros(len(keys), np.int64)
+        first[found] = self.firsts[self.rank[place[found]]]
+        return found, first
+
+
+def _batched(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """(batch, lines, doc, nameless, many, keys): a row for each Arrow batch, with its documents' distinct key hashes packed."""
 
-    @F.arrow_udf("array<bigint>")
     @settled
-    def keys(texts: pa.Array) -> pa.Array:
-        raw_all, off = flat(texts)
-        values, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    def one(batch: pa.RecordBatch, number: int) -> pa.RecordBatch:
+        raw_all, off = flat(batch["text"])
+        values, counts = [np.zeros(0, U64)], []
         for a, b in runs(off):
             raw, offsets = raw_all[off[a] : off[b]], off[a : b + 1] - off[a]
-            s, e, doc = line_spans(raw, offsets)
+            s, e, line_doc = line_spans(raw, offsets)
             k, h = line_keys(raw, offsets, s, e, least)
-            d = doc[k]
+            d = line_doc[k]
             order = np.lexsort((h, d))
             d, h = d[order], h[order]
             fresh = np.r_[True, (d[1:] != d[:-1]) | (h[1:] != h[:-1])] if len(d) else np.zeros(0, bool)
-            values.append(h[fresh].view(np.int64))
+            values.append(h[fresh])
             counts.append(np.bincount(d[fresh], minlength=b - a))
-        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(values)))
+        keys = np.concatenate(values)
+        columns = [batch["doc"].to_numpy(zero_copy_only=False).astype("<i8"), batch["nameless"].to_numpy(zero_copy_only=False), np.concatenate(counts).astype("<i4"), keys.astype("<u8")]
+        return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(keys)]), *(pa.array([x.tobytes()], pa.binary()) for x in columns)], ["batch", "lines", "doc", "nameless", "many", "keys"])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            if batch.num_rows:
+                yield one(batch, number)
+                number += 1
+
+    return _keyed(docs, id_col, text_col).select("doc", "nameless", F.col("_row")[text_col].alias("text")).mapInArrow(pack, "batch bigint, lines bigint, doc binary, nameless binary, many binary, keys binary")
+
+
+def _of_batch(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, nameless, key) of a packed batch's lines."""
+    doc, nameless, many = np.frombuffer(row["doc"], "<i8"), np.frombuffer(row["nameless"], bool), np.frombuffer(row["many"], "<i4")
+    return np.repeat(doc, many), np.repeat(nameless, many), np.frombuffer(row["keys"], "<u8")
 
-    return keys(text)
 
+ASK = "shard bigint, batch bigint, keys binary, first binary, last binary, holders binary"
 
-def _shards(repeated: DataFrame, shards: int) -> DataFrame:
-    """(shard, arrays): one row for each shard with keys, built where the keys are."""
 
+def _asked(batches: DataFrame, shards: int) -> DataFrame:
+    """The distinct keys of each batch by shard, with the smallest and largest document that holds each and how many do."""
+
+    @settled
+    def one(row: dict) -> pa.RecordBatch:
+        doc, nameless, key = _of_batch(row)
+        own, inverse = np.unique(key, return_inverse=True)
+        first, last, named = np.full(len(own), np.iinfo(np.int64).max), np.full(len(own), np.iinfo(np.int64).min), inverse[~nameless]
+        np.minimum.at(first, named, doc[~nameless])
+        np.maximum.at(last, named, doc[~nameless])
+        holders = np.bincount(named, minlength=len(own)).astype("<i8")
+        shard = ((own >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+        cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]][: len(shard)]).tolist()
+        spans = list(zip(cut, [*cut, len(own)][1:], strict=True))
+        packed = [pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()) for x in (own.astype("<u8"), first, last, holders)]
+        return pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array([row["batch"]] * len(spans), pa.int64()), *packed], ["shard", "batch", "keys", "first", "last", "holders"])
+
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for row in batch.to_pylist():
+                yield one(row)
+
+    return batches.mapInArrow(ask, ASK)
+
+
+def build_index(asked: DataFrame) -> DataFrame:
+    """(shard, tree, prints, counts, firsts): one row for each shard, over all its distinct hashes."""
+
+    @settled
     def build(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy().view(U64)
-        tree = PerfectHash.build(keys)
-        place = tree.index(keys)
-        arrays = []
-        for name, values in (("key", keys), ("first", table["first"].to_numpy()), ("docs", table["docs"].to_numpy())):
-            row = np.empty(len(keys), dtype=values.dtype)
-            row[place] = values
-            arrays.append(row.astype("<u8" if name == "key" else "<i8").tobytes())
-        return pa.table({"shard": table["shard"][:1].cast(pa.int32()), "tree": pa.array([tree.dump()], pa.binary()), "prints": pa.array([arrays[0]], pa.binary()), "firsts": pa.array([arrays[1]], pa.binary()), "docs": pa.array([arrays[2]], pa.binary())})
-
-    return repeated.groupBy("shard").applyInArrow(build, "shard int, tree binary, prints binary, firsts binary, docs binary")
-
-
-def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard, the shard's arrays first; yields the (document, key) pairs whose lines drop."""
-    current, tree = None, None
-    prints = firsts = np.zeros(0, np.int64)
-    for batch in batches:
-        shard = batch["shard"].to_numpy()
-        kind = batch["kind"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]).tolist() if len(shard) else []
-        for a, b in zip(cuts, [*cuts[1:], len(shard)], strict=True):
-            if kind[a] == 0:
-                current, tree = shard[a], PerfectHash.load(batch["tree"][a].as_py())
-                prints = np.frombuffer(batch["prints"][a].as_py(), "<u8")
-                firsts = np.frombuffer(batch["firsts"][a].as_py(), "<i8")
-            elif tree is not None and current == shard[a]:
-                key = batch["key"].slice(a, b - a).to_numpy()
-                place = tree.index(key.view(U64))
-                found = place >= 0
-                found[found] = prints[place[found]] == key.view(U64)[found]
-                doc, nameless = batch["doc"].slice(a, b - a).to_numpy(), batch["nameless"].slice(a, b - a).to_numpy(zero_copy_only=False)
-                found[found] = (firsts[place[found]] != doc[found]) | nameless[found]
-                yield pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(nameless[found]), pa.array(key[found])], ["doc", "nameless", "key"])
+        key, first, last, holders = (np.frombuffer(b"".join(table[c].to_pylist()), t) for c, t in (("keys", "<u8"), ("first", "<i8"), ("last", "<i8"), ("holders", "<i8")))
+        order = np.argsort(key)
+        key = key[order]
+        cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        first, last, holders = np.minimum.reduceat(first[order], cut), np.maximum.reduceat(last[order], cut), np.add.reduceat(holders[order], cut)
+        # rows of equal id are one document
+        index = LineIndex.build(key[cut], np.where(first < last, np.maximum(holders, 2), np.minimum(holders, 1)), first)
+        return pa.table({"shard": table["shard"][:1], **{n: pa.array([x], pa.binary()) for n, x in (("tree", index.tree.dump()), ("prints", index.prints.tobytes()), ("counts", index.counts.tobytes()), ("firsts", index.firsts.tobytes()))}})
+
+    return asked.groupBy("shard").applyInArrow(lambda t: build(t), "shard bigint, tree binary, prints binary, counts binary, firsts binary")
+
+
+def _probed(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(batch, key, first): of each batch, the packed hashes that several documents hold and the first document of each."""
+
+    @settled
+    def probe(own: pa.Table, asks: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        if own.num_rows and asks.num_rows:
+            tree, prints, counts, firsts = (own[c][0].as_py() for c in ("tree", "prints", "counts", "firsts"))
+            lines = LineIndex(PerfectHash.load(tree), np.frombuffer(prints, "<u2"), np.frombuffer(counts, np.uint8), np.frombuffer(firsts, "<i8"))
+            for number, packed in zip(asks["batch"].to_pylist(), asks["keys"].to_pylist(), strict=True):
+                keys = np.frombuffer(packed, "<u8")
+                found, first = lines.probe(keys)
+                if found.any():
+                    out.append((number, keys[found].tobytes(), first[found].astype("<i8").tobytes()))
+        return pa.table({n: pa.array([r[k] for r in out], t) for k, (n, t) in enumerate((("batch", pa.int64()), ("key", pa.binary()), ("first", pa.binary())))})
+
+    return index.groupBy("shard").cogroup(asked.select(F.col("shard").alias("s"), "batch", "keys").groupBy("s")).applyInArrow(lambda a, b: probe(a, b), "batch bigint, key binary, first binary")
 
 
 def _drops(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(doc, nameless, drop array<bigint>) of the documents that lose lines."""
     bounded_batches(docs.sparkSession)
+    batches = written(_batched(docs, id_col, text_col, least), "lines")
+    asked = _asked(batches, 1 + (batches.agg(F.sum("lines")).first()[0] or 0) // SHARD_KEYS)
+    index = written(build_index(asked), "index")
+
+    @settled
+    def resolve(rows: pa.Table, replies: pa.Table) -> pa.Table:
+        docs_, nameless_, drops = [], [], []
+        if rows.num_rows and replies.num_rows:
+            doc, nameless, key = _of_batch(rows.to_pylist()[0])
+            known = np.frombuffer(b"".join(replies["key"].to_pylist()), "<u8")
+            order = np.argsort(known)
+            known, first = known[order], np.frombuffer(b"".join(replies["first"].to_pylist()), "<i8")[order]
+            spot = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            away = (known[spot] == key) & ((first[spot] != doc) | nameless)
+            doc, nameless, key = doc[away], nameless[away], key[away].view(np.int64)
+            cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (nameless[1:] != nameless[:-1])][: len(doc)])
+            docs_, nameless_, drops = doc[cut], nameless[cut], np.split(key, cut[1:]) if len(cut) else []
+        return pa.table({"doc": pa.array(docs_, pa.int64()), "nameless": pa.array(nameless_, pa.bool_()), "drop": pa.array(drops, pa.list_(pa.int64()))})
+
+    found = batches.groupBy("batch").cogroup(_probed(index, asked).select(F.col("batch").alias("b"), "key", "first").groupBy("b")).applyInArrow(lambda a, b: resolve(a, b), "doc bigint, nameless boolean, drop array<bigint>")
+    return found.groupBy("doc", "nameless").agg(F.array_distinct(F.flatten(F.collect_list("drop"))).alias("drop"))
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_row, doc, nameless); a row without an id goes by its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("doc"), F.col(id_col).isNull().alias("nameless"), keys_column(F.col(text_col), least).alias("keys"))
-    lines = written(lines.filter(F.size("keys") > 0), "lines").select("doc", "nameless", F.explode("keys").alias("key"))
-    held = lines.filter(~F.col("nameless")).groupBy("key").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count("*").alias("docs")).filter(F.col("first") < F.col("last"))
-    repeated = written(held.select("key", "first", "docs"), "repeated")
-    shards = 1 << max(0, (repeated.count() // SHARD_KEYS).bit_length())
-    shard = F.shiftrightunsigned(F.col("key"), 64 - (shards.bit_length() - 1)).cast("int") if shards > 1 else F.lit(0)
-    arrays = _shards(repeated.withColumn("shard", shard), shards).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumns({"kind": F.lit(0), "doc": F.lit(0).cast("bigint"), "nameless": F.lit(False), "key": F.lit(0).cast("bigint")})
-    probes = lines.withColumns({"shard": shard, "salt": F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"), "kind": F.lit(1), "tree": F.lit(None).cast("binary"), "prints": F.lit(None).cast("binary"), "firsts": F.lit(None).cast("binary")})
-    columns = ["shard", "salt", "kind", "doc", "nameless", "key", "tree", "prints", "firsts"]
-    dealt = probes.select(columns).unionByName(arrays.select(columns)).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = dealt.mapInArrow(_probe, "doc bigint, nameless boolean, key bigint")
-    return found.groupBy("doc", "nameless").agg(F.collect_set("key").alias("drop"))
+    return docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("doc"), F.col(id_col).isNull().alias("nameless"))
 
 
 def rebuilt_column(text: Column, drop: Column, least: int) -> Column:
@@ -239,9 +324,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text becomes an empty one.  Same-named columns of docs are replaced by the counts.
     """
     drops = _drops(docs, id_col, text_col, least)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(id_col).cast("bigint"), F.xxhash64(text)).alias("doc"), F.col(id_col).isNull().alias("nameless"))
-    joined = keyed.join(drops, ["doc", "nameless"], "left").withColumn("_new", rebuilt_column(F.col("_row")[text_col], F.col("drop"), least))
+    joined = _keyed(docs, id_col, text_col).join(drops, ["doc", "nameless"], "left").withColumn("_new", rebuilt_column(F.col("_row")[text_col], F.col("drop"), least))
     kept = [F.col("_new.text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if not counts or c not in counts]
     return joined.select(*kept, *([F.col("_new.n_lines").alias(counts[0]), F.col("_new.n_dropped").alias(counts[1])] if counts else []))
 
