@@ -2,7 +2,8 @@
 
 Method: batched numpy merge rounds.  The byte symbols of all words that a batch has not met before lie in one flat array;
 in each round every word's lowest-rank adjacent pair is found by binary search over the sorted pair keys, all its
-occurrences merge at once, and words without a mergeable pair leave.  Words met before come from a bounded table.
+occurrences merge at once, and words without a mergeable pair leave.  Words met before come from a bounded table.  Words of more
+than LONG bytes, whose rounds would each rescan them, merge over a linked list instead, with a heap of their pairs.
 
 Defined results: a null text is empty and has no ids; the special tokens of the vocabulary file are found in texts first, as
 the file says; rows are independent, so ties, repeated rows and other columns do not matter; texts of any length are taken
@@ -12,12 +13,19 @@ whole.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
+import pickle
+import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import lru_cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,11 +36,27 @@ from ._text import flat, ragged, settled
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept between batches of a worker; the table starts anew when it is full.
 TABLE = 150_000
-#: Texts up to here are cut by the pattern; others by the library's splitter, whose Unicode tables may be of another age.
-PLAIN = regex.compile("[^\x00-ԯ]")
+#: Texts of these characters alone need no look at newer ones.
+OLD = regex.compile("[^\x00-\u052f]")
+#: Bytes of a word that still merges in rounds.
+LONG = 256
 NONE = np.int64(1 << 40)
 
 
+@lru_cache(maxsize=1)
+def _newer() -> regex.Pattern | None:
+    """Characters that the pattern's Unicode tables call letters or numbers and the vocabulary's, of Python's age, do not know."""
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn"]
+    spans: list[list[int]] = []
+    for c in found:
+        if spans and spans[-1][1] == c - 1:
+            spans[-1][1] = c
+        else:
+            spans.append([c, c])
+    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in spans) + "]") if spans else None
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in vocabulary files."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -59,34 +83,45 @@ class _Words(dict):
         return k
 
 
+def tables(spec: str) -> dict:
+    """What encoding and decoding need of a vocabulary file's content, as arrays."""
+    conf = json.loads(spec)
+    vocab: dict[str, int] = conf["model"]["vocab"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in conf["model"]["merges"]]
+    letters = byte_letters()
+    a = np.array([vocab[x] for x, _ in pairs], dtype=np.int64)
+    b = np.array([vocab[y] for _, y in pairs], dtype=np.int64)
+    keys = (a << 32) | b
+    order = np.argsort(keys)
+    special = {t["content"]: t["id"] for t in conf.get("added_tokens", [])}
+    back = {x: k for k, x in enumerate(letters)}
+    piece = [b""] * (1 + max([*vocab.values(), *special.values()]))
+    for word, k in vocab.items():
+        piece[k] = bytes(back[x] for x in word)
+    for word, k in special.items():
+        piece[k] = word.encode()
+    return {
+        "of_byte": np.array([vocab[x] for x in letters], dtype=np.int64),
+        "keys": keys[order],
+        "ranks": np.arange(len(pairs), dtype=np.int64)[order],
+        "made": np.array([vocab[x + y] for x, y in pairs], dtype=np.int64),
+        "special": special,
+        "piece_len": np.array([len(p) for p in piece], dtype=np.int64),
+        "pieces": np.frombuffer(b"".join(piece), dtype=np.uint8),
+    }
+
+
 class Bpe:
     """A vocabulary, ready to encode and decode batches."""
 
-    def __init__(self, spec: str) -> None:
-        conf = json.loads(spec)
-        vocab: dict[str, int] = conf["model"]["vocab"]
-        pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in conf["model"]["merges"]]
-        letters = byte_letters()
-        self.of_byte = np.array([vocab[x] for x in letters], dtype=np.int64)
-        a = np.array([vocab[x] for x, _ in pairs], dtype=np.int64)
-        b = np.array([vocab[y] for _, y in pairs], dtype=np.int64)
-        keys, rank = (a << 32) | b, np.arange(len(pairs), dtype=np.int64)
-        order = np.argsort(keys)
-        self.keys, self.ranks = keys[order], rank[order]
-        self.made = np.array([vocab[x + y] for x, y in pairs], dtype=np.int64)
-        self.special = {t["content"]: t["id"] for t in conf.get("added_tokens", [])}
-        back = {x: k for k, x in enumerate(letters)}
-        size = 1 + max([*vocab.values(), *self.special.values()])
-        piece = [b""] * size
-        for word, k in vocab.items():
-            piece[k] = bytes(back[x] for x in word)
-        for word, k in self.special.items():
-            piece[k] = word.encode()
-        self.piece_len = np.array([len(p) for p in piece], dtype=np.int64)
+    def __init__(self, made_of: dict | str) -> None:
+        t = tables(made_of) if isinstance(made_of, str) else made_of
+        self.of_byte, self.keys, self.ranks, self.made, self.special = (t[k] for k in ("of_byte", "keys", "ranks", "made", "special"))
+        self.piece_len, self.pieces = t["piece_len"], t["pieces"]
         self.piece_at = np.cumsum(self.piece_len) - self.piece_len
-        self.pieces = np.frombuffer(b"".join(piece), dtype=np.uint8)
         self.pattern = regex.compile(PATTERN)
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self.rank_of: dict[int, int] = {}
         self.clear()
 
     def clear(self) -> None:
@@ -96,12 +131,36 @@ class Bpe:
         self.len = np.zeros(0, dtype=np.int64)
 
     def split(self, text: str) -> list[str]:
-        if PLAIN.search(text) is None:
+        newer = OLD.search(text) and _newer()
+        if not newer or newer.search(text) is None:
             return self.pattern.findall(text)
-        from tokenizers import pre_tokenizers
-
-        spans = pre_tokenizers.ByteLevel(add_prefix_space=False).pre_tokenize_str(text)
-        return [text[a:b] for _, (a, b) in spans]
+        # such characters count as neither letters nor numbers; a sign of that kind stands for each while words are found
+        return [text[m.start() : m.end()] for m in self.pattern.finditer(newer.sub("§", text))]
+
+    def merge_long(self, word: str) -> np.ndarray:
+        """The ids of one long word: a heap gives the lowest rank, leftmost first; neighbours are linked."""
+        if not self.rank_of:
+            self.rank_of = dict(zip(self.keys.tolist(), self.ranks.tolist(), strict=True))
+        symbol = self.of_byte[np.frombuffer(word.encode(), np.uint8)].tolist()
+        n = len(symbol)
+        after, before, rank_of, made = [*range(1, n), -1], list(range(-1, n - 1)), self.rank_of, self.made.tolist()
+        heap = [(r, i) for i in range(n - 1) if (r := rank_of.get(symbol[i] << 32 | symbol[i + 1])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            rank, i = heapq.heappop(heap)
+            j = after[i] if symbol[i] >= 0 else -1
+            if j < 0 or rank_of.get(symbol[i] << 32 | symbol[j]) != rank:
+                continue  # one of the two has merged since
+            symbol[i], symbol[j] = made[rank], -1
+            after[i] = k = after[j]
+            if k >= 0:
+                before[k] = i
+                if (r := rank_of.get(symbol[i] << 32 | symbol[k])) is not None:
+                    heapq.heappush(heap, (r, i))
+            if (h := before[i]) >= 0 and (r := rank_of.get(symbol[h] << 32 | symbol[i])) is not None:
+                heapq.heappush(heap, (r, h))
+        ids = np.array(symbol, np.int64)
+        return ids[ids >= 0].astype(np.uint32)
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat ids, length of each word's ids), by rounds over all words at once."""
@@ -145,7 +204,7 @@ class Bpe:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(flat uint32 ids, offsets of the texts)."""
-        if len(self.words) > TABLE:
+        if len(self.words) > TABLE or len(self.ids) > 8 * TABLE:
             self.clear()
         rows: list[int] = []
         ends = [0]
@@ -163,9 +222,16 @@ class Bpe:
                 rows.extend(map(look, self.split(text)))
             ends.append(len(rows))
         if self.words.fresh:
-            ids, size = self.merge(self.words.fresh)
-            self.words.fresh = []
+            fresh, self.words.fresh = self.words.fresh, []
+            long = {k: self.merge_long(w) for k, w in enumerate(fresh) if len(w) > LONG // 4 and len(w.encode()) > LONG}
+            ids, size = self.merge(["" if k in long else w for k, w in enumerate(fresh)] if long else fresh)
             start = len(self.ids) + np.cumsum(size) - size
+            if long:  # behind the others, in the places that the batch's words have
+                at = len(self.ids) + len(ids)
+                for k, own in long.items():
+                    start[k], size[k] = at, len(own)
+                    at += len(own)
+                ids = np.concatenate([ids, *long.values()])
             self.ids, self.at, self.len = np.concatenate([self.ids, ids]), np.concatenate([self.at, start]), np.concatenate([self.len, size])
         row = np.array(rows, dtype=np.int64)
         ids_at, at, size = self.ids, self.at, self.len
@@ -191,15 +257,16 @@ class Bpe:
         return [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
 
 
-_loaded: dict[str, Bpe] = {}
+_loaded: dict[int, Bpe] = {}
+_numbers = count()
 
 
-def _bpe(spec: str) -> Bpe:
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _loaded:
+def _bpe(spec) -> Bpe:
+    """The task's vocabulary, from a broadcast of its arrays."""
+    if spec.id not in _loaded:
         _loaded.clear()
-        _loaded[key] = Bpe(spec)
-    return _loaded[key]
+        _loaded[spec.id] = Bpe(pickle.loads(spec.data.value))
+    return _loaded[spec.id]
 
 
 def _each(batches: Iterator[pa.Array], one: Callable[[pa.Array], pa.Array]) -> Iterator[pa.Array]:
@@ -211,17 +278,24 @@ def _each(batches: Iterator[pa.Array], one: Callable[[pa.Array], pa.Array]) -> I
         _loaded.clear()
 
 
+@dataclass(frozen=True)
+class _Shared:
+    id: int
+    data: Broadcast
+
+
 def default_vocabulary() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def _spec(spark: SparkSession, path: str | None):
-    """The vocabulary file's content (a few MB, of fixed size), broadcast to the workers."""
+def _spec(spark: SparkSession, path: str | None) -> _Shared:
+    """The vocabulary file's tables (a few MB, of fixed size), parsed once and broadcast to the workers as arrays."""
     bounded_batches(spark)
     with open(path or default_vocabulary(), encoding="utf-8") as f:
-        return spark.sparkContext.broadcast(f.read())
+        data = spark.sparkContext.broadcast(pickle.dumps(tables(f.read())))
+    return _Shared(next(_numbers), data)
 
 
 def _chunks(texts: pa.Array, most: int = 500_000):
@@ -245,7 +319,7 @@ def encode_column(spark: SparkSession, text: Column | str, vocabulary: str | Non
 
     @settled
     def one(texts: pa.Array) -> pa.Array:
-        bpe, ids, ends = _bpe(spec.value), [], [np.zeros(1, np.int64)]
+        bpe, ids, ends = _bpe(spec), [], [np.zeros(1, np.int64)]
         for part in _chunks(texts):
             i, o = bpe.encode(part)
             ids.append(i)
@@ -269,7 +343,7 @@ def decode_column(spark: SparkSession, ids: Column | str, vocabulary: str | None
             rows = pa.array([x or [] for x in rows.to_pylist()], pa.list_(pa.int32()))
         offsets = np.asarray(rows.offsets).astype(np.int64)
         values = np.asarray(rows.values.fill_null(-1))[offsets[0] : offsets[-1]]
-        return pa.array(_bpe(spec.value).decode(values, offsets - offsets[0]), pa.string())
+        return pa.array(_bpe(spec).decode(values, offsets - offsets[0]), pa.string())
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -289,16 +363,16 @@ def coded_column(spark: SparkSession, text: Column | str, vocabulary: str | None
 
     @settled
     def one(texts: pa.Array) -> pa.Array:
-        bpe, count, first, second, kept = _bpe(spec.value), [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
+        bpe, many, first, second, kept = _bpe(spec), [np.zeros(0, np.int64)], [], [], [np.zeros(0, np.int32)]
         for part in _chunks(texts):
             ids, ends = bpe.encode(part)
             little = ids.astype("<u4").tobytes()
-            count.append(np.diff(ends))
+            many.append(np.diff(ends))
             first += [hashlib.sha256(little[4 * a : 4 * b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
             second += [hashlib.sha256(t.encode()).hexdigest() for t in bpe.decode(ids, ends)]
             if with_ids:
                 kept.append(ids.astype(np.int32))
-        n = np.concatenate(count)
+        n = np.concatenate(many)
         columns = {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
         if with_ids:
             columns["token_ids"] = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(kept)))
