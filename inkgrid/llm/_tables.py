@@ -7,16 +7,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Only used where the session names no checkpoint folder, as in tests.
+#: Only used in local mode where the session names no checkpoint folder, as in tests.
 FALLBACK = "/tmp/checkpoints"
 
 
 def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share; on a cluster it must be named."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = FALLBACK
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return FALLBACK
 
 
 #: Rows of a batch that workers exchange with the JVM; texts are long, and both sides hold a batch and its result.
@@ -31,16 +33,33 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, computed once, written as Parquet below the shared checkpoint folder and read again.
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> tuple[DataFrame, str]:
+    """(df, computed once, written as Parquet below the shared checkpoint folder and read again; the table's path).
 
     Cuts the lineage in a way that survives lost executors and avoids computing a branch twice.  The schema is handed to the
-    reader, so an empty result keeps its columns.
+    reader, so an empty result keeps its columns.  What the query shuffled is deleted with its end, since nothing reads it again.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/inkgrid-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path, compression=compression)
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str, compact: bool = False) -> DataFrame:
+    """`stored`, for tables that a lazy result still reads; compact: the many small parts of a scan's result become few of the advisory size."""
+    return stored(df.hint("rebalance") if compact else df, name)[0]
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a table that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 def text_words(text: Column | str) -> Column:

@@ -256,7 +256,7 @@ def _probed(index: DataFrame, asked: DataFrame) -> DataFrame:
 def _drops(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
     """(doc, nameless, drop array<bigint>) of the documents that lose lines."""
     bounded_batches(docs.sparkSession)
-    batches = written(_batched(docs, id_col, text_col, least), "lines")
+    batches = written(_batched(docs, id_col, text_col, least), "lines", compact=True)
     asked = _asked(batches, 1 + (batches.agg(F.sum("lines")).first()[0] or 0) // SHARD_KEYS)
     index = written(build_index(asked), "index")
 

@@ -97,7 +97,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: st
 
 
 def _planned(docs: DataFrame, id_col: str, text_col: str, source_col: str, cycle: tuple[int, ...], percent: int, seed: str) -> DataFrame:
-    rows = written(_rows(docs, id_col, text_col, source_col, seed), "mix")
+    rows = written(_rows(docs, id_col, text_col, source_col, seed), "mix", compact=True)
     timed = written(_timed(rows, cycle, percent), "mixed")
     cut = F.lit(_cut(timed, percent))
     return timed.withColumn("taken", F.when(F.col("_t1") <= cut, F.col("size")).otherwise(0) + F.when(F.col("_t2") <= cut, F.col("size")).otherwise(0))

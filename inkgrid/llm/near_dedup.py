@@ -3,16 +3,18 @@
 A document's set holds the 64-bit hashes of its distinct five-word shingles.  ROWS independent hash functions each deal the
 shingles into BANDS buckets; a bucket's register keeps the leading zeros and some mantissa bits of its smallest hash (16 bits).
 Band i takes one register of every function, so its rows are independent.  Documents with equal sets are one class from the
-start.  Candidates are classes that share bands; registers give a Jaccard estimate, corrected for chance collisions; the full
+start.  Candidates are classes that share a band; registers give a Jaccard estimate, corrected for chance collisions; the full
 sets confirm.  Confirmed links become components.
 
 Groups are never expanded: in buckets of more than SMALL classes, members meet one hub, another in most bands.  Where such a
 bucket still spans several components afterwards, its members outside the main component are compared with all members, block by
-block, which finds the remaining links.
+block, which finds the remaining links.  Blocks are bounded by the shingles they hold; joins by bucket are merge joins, whose crowded
+keys Spark splits.
 
 Defined results: a null or empty text has an empty set, no links and its own component; shorter texts than five words are one
-shingle; rows of equal id are one document; a row with a null id has no links, a null component and is kept; an empty table
-gives no rows; other columns are not read by `classes` and kept by `keep_first`.  Ids are integers.
+shingle; rows of equal id are one document, linked through each of their sets; a row with a null id has no links, a null
+component and is kept; an empty table gives no rows; other columns are not read by `classes` and kept by `keep_first`.  Ids are
+integers.  64-bit hashes stand for shingles.
 """
 
 from __future__ import annotations
@@ -31,15 +33,14 @@ from .components import components
 ROWS, BANDS = 5, 51
 VALUE_BITS, MANTISSA = 48, 10
 EMPTY = U64((1 << VALUE_BITS) - 1)
-#: Buckets up to this size give all their pairs; a pair must share two bands to be looked at.
-SMALL = 32
-SHARED = 2
-#: Estimates this far below the threshold are confirmed on full sets too: over three standard errors of 255 registers.
-MARGIN = 0.09
+#: Buckets up to this size give all their pairs.
+SMALL = 8
+#: Estimates this far below the threshold are confirmed on full sets too: over five standard errors of 255 registers.
+MARGIN = 0.14
 #: Large buckets choose their hubs in so many orders, so that classes which share several of them meet few hubs.
 FAMILIES = 8
-#: Classes of a block when a large bucket is compared block by block.
-BLOCK = 1024
+#: Shingles of a block, on average, when a large bucket is compared block by block.
+BLOCK = 1 << 17
 #: Fixed value: the constant of the expected-collision formula published for HyperMinHash.
 COLLISION = 0.169919487159739093975315012348
 
@@ -108,6 +109,16 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     return np.clip((same - chance) / np.maximum(n, 1), 0, 1)
 
 
+def digests(key: np.ndarray, count: np.ndarray) -> list[bytes]:
+    """128 bits of each set, given the hashes of all sets one after the other and their sizes."""
+    end = np.cumsum(count)
+    pair = np.zeros((len(count), 2), dtype=U64)
+    for k, salt in enumerate((0, 0xA0761D6478BD642F)):
+        total = np.r_[U64(0), np.cumsum(mix(key ^ U64(salt)))]
+        pair[:, k] = total[end] - total[end - count]
+    return [row.tobytes() for row in pair]
+
+
 def sketch_column(text: Column) -> Column:
     """struct(n, digest, regs): size of the set, 128 bits that equal sets share, and the registers."""
 
@@ -118,12 +129,7 @@ def sketch_column(text: Column) -> Column:
         for doc, key, n in document_sets(texts):
             count = np.bincount(doc, minlength=n)
             size.append(count)
-            at = np.minimum(np.cumsum(count) - count, max(0, len(key) - 1))
-            pair = np.zeros((n, 2), dtype=U64)
-            if len(key):
-                pair[:, 0] = np.add.reduceat(mix(key), at)
-                pair[:, 1] = np.add.reduceat(mix(key ^ U64(0xA0761D6478BD642F)), at)
-            digest += [row.tobytes() for row in pair]
+            digest += digests(key, count)
             regs += [row.tobytes() for row in registers(doc, key, n)]
         size = np.concatenate(size) if size else np.zeros(0, np.int64)
         full = (size > 0).tolist()
@@ -151,11 +157,14 @@ def _estimated_of(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.
 
 @settled
 def _set_of(texts: pa.Array) -> pa.Array:
-    keys, counts = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
+    """struct(s, digest) of each text."""
+    keys, counts, digest = [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
     for doc, key, n in document_sets(texts):
         keys.append(key.view(np.int64))
         counts.append(np.bincount(doc, minlength=n))
-    return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(keys)))
+        digest += digests(key, counts[-1])
+    s = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(counts)).astype(np.int32)), pa.array(np.concatenate(keys)))
+    return pa.StructArray.from_arrays([s, pa.array(digest, pa.binary())], ["s", "digest"])
 
 
 @settled
@@ -176,19 +185,20 @@ def _outside(large: DataFrame, links: _Links) -> DataFrame:
     outside, part of the cluster) is a group of bounded size.  Registers that look alike enough are confirmed on full sets there.
     """
     cluster = components(large.select(F.col("rep").alias("a"), F.col("first").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
-    member = written(large.select("rep", "comp").distinct().join(cluster, "rep"), "members")
-    size = member.groupBy("cluster", "comp").agg(F.count("*").alias("n"))
+    member = written(large.select("rep", "comp").distinct().join(cluster, "rep").join(links.reps.select("rep", "n"), "rep"), "members")
+    size = member.groupBy("cluster", "comp").agg(F.sum("n").alias("n"))
     main = size.groupBy("cluster").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("n"), F.max("n").alias("most"))
     parts = main.select("cluster", "main", (F.floor((F.col("n") - 1) / BLOCK) + 1).cast("int").alias("parts"), F.greatest(F.floor((F.col("n") - F.col("most") - 1) / BLOCK) + 1, F.lit(0)).cast("int").alias("outer"))
-    sets = links.sets(links.reps.join(member.select("rep"), "rep", "left_semi"))
-    row = member.join(parts.filter(F.col("outer") > 0), "cluster").join(links.reps.select("rep", "n", "regs"), "rep").join(sets, "rep")
-    row = row.withColumn("h", F.xxhash64("rep"))
+    work = member.join(parts.filter(F.col("outer") > 0), "cluster")
+    sets = links.sets(links.reps.join(work.select("rep"), "rep", "left_semi"))
+    row = work.join(links.reps.select("rep", "regs"), "rep").join(sets, "rep").withColumn("h", F.xxhash64("rep"))
     every = row.select("cluster", F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("i"), F.pmod("h", "parts").cast("int").alias("j"), F.lit(False).alias("asks"), "rep", "comp", "n", "regs", "s")
     outer = row.filter(F.col("comp") != F.col("main")).select("cluster", F.pmod("h", "outer").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"), F.lit(True).alias("asks"), "rep", "comp", "n", "regs", "s")
     percent = links.percent
     return written(every.unionByName(outer).groupBy("cluster", "i", "j").applyInArrow(lambda t: _confirmed(t, percent), "a bigint, b bigint"), "outside")
 
 
+@settled
 def _confirmed(table: pa.Table, percent: int) -> pa.Table:
     """Links of the asking rows with the others, of other components, of one block."""
     asks = table["asks"].to_numpy()
@@ -237,6 +247,8 @@ class _Links:
         x = sets.select(F.col("rep").alias("a"), F.col("s").alias("sa"))
         y = sets.select(F.col("rep").alias("b"), F.col("s").alias("sb"))
         common = F.arrow_udf(_common_of, "bigint")("sa", "sb")
+        if pairs.isEmpty():
+            return
         found = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), common.alias("c"))
         self.merge(written(found.filter(100 * F.col("c") >= self.percent * (F.col("na") + F.col("nb") - F.col("c"))).select("a", "b"), "links"))
 
@@ -247,41 +259,42 @@ class _Links:
         return pairs.join(x, "a").join(y, "b").filter(F.col("ca") != F.col("cb"))
 
     def merge(self, links: DataFrame) -> None:
-        """Joins the components of linked nodes; only components enter the contraction, not their members."""
+        """Joins the components of linked nodes, if any; only components enter the contraction, not their members."""
+        if links.isEmpty():
+            return
         between = self.named(links).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
         above = components(between).select(F.col("node").alias("component"), F.col("component").alias("to"))
         self.labels = written(self.labels.join(above, "component", "left").select("node", F.coalesce("to", "component").alias("component")), "labels")
 
     def sets(self, nodes: DataFrame) -> DataFrame:
         """(rep, s): the full shingle sets of the classes that take part in pairs."""
-        first = self.docs.join(nodes.select(F.col("rep"), F.col("digest")).withColumnRenamed("rep", "doc"), "doc", "left_semi")
-        found = first.select(F.col("doc").alias("rep"), F.arrow_udf(_set_of, "array<bigint>")("text").alias("s"))
-        # of rows with equal ids, the one whose set is the class's
-        return written(found.join(nodes.select("rep", "n"), "rep").filter(F.size("s") == F.col("n")).select("rep", "s").dropDuplicates(["rep"]), "sets")
+        nodes = nodes.select("rep", "doc", "digest")
+        first = self.docs.join(nodes.select("doc"), "doc", "left_semi").select("doc", F.arrow_udf(_set_of, "struct<s: array<bigint>, digest: binary>")("text").alias("k"))
+        # of rows with equal ids, one whose set is the class's
+        return written(first.select("doc", "k.digest", "k.s").join(nodes, ["doc", "digest"]).select("rep", "s").dropDuplicates(["rep"]), "sets")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; kept: the row's id is its component's smallest."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text_col).alias("text"))
-    sketched = written(rows.select("doc", sketch_column(F.col("text")).alias("k")).select("doc", "k.n", "k.digest", "k.regs"), "sketches")
+    sketched = written(rows.select("doc", sketch_column(F.col("text")).alias("k")).select("doc", "k.n", "k.digest", "k.regs"), "sketches", compact=True)
     full = sketched.filter(F.col("doc").isNotNull() & (F.col("n") > 0))
-    reps = full.groupBy("digest", "n").agg(F.min(F.struct("doc", "regs")).alias("m")).select("digest", "n", F.col("m.doc").alias("rep"), F.col("m.regs").alias("regs"))
-    # a document with several sets (rows of equal id) stands for each of them: the first set keeps its registers
-    reps = written(reps, "classes")
-    member = sketched.select("doc", "digest").filter(F.col("digest").isNotNull()).join(reps.select("digest", "rep"), "digest").select("doc", "rep")
-    one = reps.groupBy("rep").agg(F.max_by(F.struct("digest", "n", "regs"), F.struct("n", "digest")).alias("m"), F.count("*").alias("sets"))
-    links = _Links(rows, written(one.select("rep", "m.digest", "m.n", "m.regs"), "first"), percent)
-
-    twins = written(member.groupBy("doc").agg(F.collect_set("rep").alias("r")).filter(F.size("r") > 1).select(F.col("doc").alias("a"), F.explode("r").alias("b")), "twins")
-
-    band = links.reps.select("rep", F.explode(F.arrow_udf(_bands_of, "array<bigint>")("regs")).alias("h"))
+    found = full.groupBy("digest", "n").agg(F.min(F.struct("doc", "regs")).alias("m")).select("digest", "n", "m.doc", "m.regs")
+    found = found.select("digest", "n", "doc", F.col("doc").alias("rep"), "regs", F.arrow_udf(_bands_of, "array<bigint>")("regs").alias("bands"))
+    links = _Links(rows, _named(written(found, "classes")), percent)
+    member = sketched.select("doc", "digest").filter(F.col("digest").isNotNull() & F.col("doc").isNotNull()).join(links.reps.select("digest", "rep"), "digest").select("doc", "rep")
+    # rows of equal id are one document: all its sets link to one of them
+    own = member.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter(F.col("a") < F.col("z")).select("doc", "a")
+    twins = written(member.join(own, "doc").filter(F.col("a") != F.col("rep")).select("a", F.col("rep").alias("b")), "twins")
+
+    band = links.reps.select("rep", F.explode("bands").alias("h"))
     hub = F.min(F.struct(F.xxhash64(F.pmod("h", F.lit(FAMILIES)), "rep").alias("o"), F.col("rep").alias("rep")))["rep"]
     shared = band.groupBy("h").agg(F.count("*").alias("m"), hub.alias("hub")).filter(F.col("m") > 1)
-    bucket = written(band.join(shared, "h"), "buckets")
+    bucket = written(band.join(shared.hint("merge"), "h"), "buckets")
     near = bucket.filter(F.col("m") <= SMALL).groupBy("h").agg(F.array_sort(F.collect_list("rep")).alias("r"))
     pair = F.expr("flatten(transform(r, (x, i) -> transform(slice(r, i + 2, size(r)), y -> struct(x as a, y as b))))")
-    pairs = near.select(F.explode(pair).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("bands")).filter(F.col("bands") >= SHARED).select("a", "b")
+    pairs = near.select(F.explode(pair).alias("p")).select("p.a", "p.b")
     stars = bucket.filter((F.col("m") > SMALL) & (F.col("rep") != F.col("hub"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
     candidates = written(links.estimated(pairs.union(stars).distinct()), "candidates")
 
@@ -291,22 +304,35 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", per
     links.labels = written(ends.union(crowded.select("rep")).union(twins.select("a")).union(twins.select("b")).distinct().select(F.col("rep").alias("node"), F.col("rep").alias("component")), "labels")
     # first every class's most similar partner, which joins most groups; then whatever still lies between components
     links.confirm(_best(candidates), sets)
-    links.confirm(links.named(candidates), sets)
+    links.confirm(written(links.named(candidates), "open"), sets)
 
     # crowded buckets that still span components: those that share classes are one cluster
     large = crowded.join(links.labels, F.col("rep") == F.col("node")).select("h", "rep", F.col("component").alias("comp"))
     mixed = large.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.min("rep").alias("first")).filter(F.col("x") < F.col("y")).select("h", "first")
-    large = written(large.join(mixed, "h").select("rep", "comp", "first").distinct(), "large")
+    large = written(large.join(mixed.hint("merge"), "h").select("rep", "comp", "first").distinct(), "large")
     if not large.isEmpty():
         links.merge(_outside(large, links))
 
     links.merge(twins)
-    named = member.join(links.labels, F.col("rep") == F.col("node"), "left").select("doc", F.coalesce("component", "rep").alias("component")).groupBy("doc").agg(F.min("component").alias("component"))
+    # a component's name is its smallest document, not its smallest class
+    named = member.join(links.labels, F.col("rep") == F.col("node"), "left").select("doc", F.coalesce("component", "rep").alias("label"))
+    least = named.groupBy("label").agg(F.min("doc").alias("component"))
+    named = named.groupBy("doc").agg(F.min("label").alias("label")).join(least, "label").select("doc", "component")
     out = sketched.select("doc", "n").join(named, "doc", "left")
     component = F.coalesce("component", "doc")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"))
 
 
+def _named(classes: DataFrame) -> DataFrame:
+    """classes (digest, doc, rep and more) with distinct rep: of an id's several sets, all but one are named by their digest."""
+    several = classes.groupBy("doc").agg(F.min("digest").alias("main"), F.count("*").alias("sets")).filter(F.col("sets") > 1)
+    if several.isEmpty():
+        return classes
+    other = F.xxhash64("digest").bitwiseOR(F.lit(-(1 << 63)))
+    joined = classes.join(several.select("doc", "main"), "doc", "left")
+    return written(joined.withColumn("rep", F.when(F.col("main").isNull() | (F.col("main") == F.col("digest")), F.col("doc")).otherwise(other)).select(classes.columns), "classes")
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     """The pair of the highest estimate of every end, from pairs (a, b, e)."""
     both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "e").union(pairs.select("b", "a", "e"))

@@ -183,7 +183,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
     """
     rules = rules or RULES
     bounded_batches(docs.sparkSession)
-    counted = written(docs.select(F.col(id_col).alias("doc_id"), counts_column(F.col(text_col)).alias("c")).select("doc_id", "c.*"), "rules")
+    counted = written(docs.select(F.col(id_col).alias("doc_id"), counts_column(F.col(text_col)).alias("c")).select("doc_id", "c.*"), "rules", compact=True)
     votes = [f"vote_{r.name}" for r in rules]
     voted = counted.withColumns({v: r.vote() for v, r in zip(votes, rules, strict=True)}).withColumn("base_failed", F.expr(BASE))
     table = voted.filter(~F.col("base_failed")).groupBy(*votes).agg(F.count("*").alias("n")).collect()
