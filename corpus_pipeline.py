@@ -1,6 +1,10 @@
 """The corpus pipeline: quality classifier, line dedup, near-duplicate removal, mixing, tokens.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows of docs; all but the last return the columns of documents.
+
+Defined results of all stages: an empty table gives no rows; null and empty texts, null ids and repeated rows are what the
+operator of the stage says of them (a null text leaves line dedup as an empty one); other columns go along unread, whatever their
+names; texts are whole.
 """
 
 from __future__ import annotations
