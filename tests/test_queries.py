@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import pytest
 
+import inkgrid.plans.document  # noqa: F401  (registers its queries)
+import inkgrid.plans.scalars  # noqa: F401
 from inkgrid.plans.queries import ORACLE, QUERIES, VOTES
 from inkgrid.plans.views import view, with_views
 
