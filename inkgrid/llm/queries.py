@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_tree, topk, url_rules
+from . import bpe, html_text, line_dedup, mixing, near_dedup, quality_model, quality_rules, repeats, spelling, spotsigs, suffix_tree, topk, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.compare_edited(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_text": op1_html_text,
     "op2_quality_classifier": op2_quality_classifier,
@@ -64,6 +76,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_bpe": op9_bpe,
     "op10_mixing": op10_mixing,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_fingerprints": op13_fingerprints,
 }
 
 ORACLE = {
@@ -72,4 +87,6 @@ ORACLE = {
     "op6_line_dedup": line_dedup.digest_sql(),
     "op8_top_k": topk.top_k_sql(),
     "op10_mixing": mixing.plan_sql(),
+    "op11_spelling_variants": spelling.variants_sql(),
+    "op13_fingerprints": spotsigs.compare_edited_sql(),
 }

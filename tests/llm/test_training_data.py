@@ -1,4 +1,4 @@
-"""The ten operators: against SQL or brute force, and on odd tables."""
+"""The operators: against SQL or brute force, and on odd tables."""
 
 from __future__ import annotations
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrid.llm import bpe, components, html_text, line_dedup, mixing, near_dedup, quality_model, quality_rules, suffix_tree, topk, url_rules
+from inkgrid.llm import bpe, components, html_text, line_dedup, mixing, near_dedup, quality_model, quality_rules, repeats, spelling, spotsigs, suffix_tree, topk, url_rules
 from inkgrid.llm._text import flat, ragged, runs, shingles, spans_hash, words
 from inkgrid.llm.queries import ORACLE, QUERIES
 
@@ -659,3 +659,208 @@ def test_pipeline(spark, sf_dir):
     assert mixed.columns == docs.columns
     out = corpus_pipeline.run(spark, sf_dir).collect()
     assert out and all(len(r.token_ids) == r.n_tokens for r in out)
+
+
+# 11
+
+
+def near_words(a, b):
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    a, b = sorted((a, b), key=len)
+    return len(b) == len(a) + 1 and any(b[:k] + b[k + 1 :] == a for k in range(len(b)))
+
+
+def brute_variants(docs, least_n=3):
+    n = Counter()
+    for doc_id, text in docs:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = run.translate(LOWER)
+            h = zlib.crc32(f"{doc_id}:{run}".encode()) if doc_id is not None else 1
+            n[run[: h % len(run)] + run[h % len(run) + 1 :] if h % 97 == 0 else run] += 1
+    n = {w: k for w, k in n.items() if k >= least_n and len(w) >= 5}
+    near = {w: [v for v in n if near_words(v, w)] for w in n}
+    form = {}
+    for w, others in near.items():
+        best = min(others, key=lambda v: (-n[v], v), default=None)
+        form[w] = best if best and n[best] >= 2 * n[w] else None
+
+    def root(w):
+        return root(form[w]) if form[w] else w
+
+    return sorted((w, form[w], root(w), n[w], len(near[w]), n[form[w]] if form[w] else None) for w in n)
+
+
+@pytest.mark.parametrize("buckets", [1 << 17, 50])
+def test_variants_equal_brute_force(spark, monkeypatch, buckets):
+    monkeypatch.setattr(spelling, "BUCKET_KEYS", buckets)
+    rnd = random.Random(11)
+    base = ["".join(rnd.choice("abé") for _ in range(rnd.randint(4, 8))) for _ in range(40)]
+    texts = []
+    for _ in range(120):
+        words_ = []
+        for _ in range(60):
+            w = rnd.choice(base)
+            k = rnd.randrange(len(w))
+            words_.append(rnd.choice([w, w, w.upper(), w[:k] + w[k + 1 :], w[:k] + rnd.choice("abÉ") + w[k:], w[:k] + "b" + w[k + 1 :]]))
+        texts.append(rnd.choice([" ", "\n", "1", "×-"]).join(words_))
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "aaaaa aaaaab aaaaa aaaaa"), (3, None), (4, ""), (5, texts[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in ("word", "n", "key", "form", "id", "bucket")})
+    got = sorted(tuple(r) for r in spelling.variants(docs).collect())
+    assert got == brute_variants(rows) and any(r[5] for r in got) and any(r[2] != (r[1] or r[0]) for r in got)
+    assert spelling.variants(docs.limit(0)).collect() == []
+
+
+def test_long_runs_and_chains(spark):
+    long = "ab" * 20000
+    texts = [" ".join([long] * 6 + [long + "c"] * 12 + [long[1:]] * 3)] + ["grape grope gripe"] * 3 + ["grope"] * 9 + ["gropes"] * 30
+    got = {r["word"]: r for r in spelling.variants(docs_of(spark, texts), every=None).collect()}
+    assert got[long]["form"] == long + "c" and got[long[1:]]["root"] == long + "c" and got[long]["n_near"] == 2
+    assert got["grape"]["form"] == "grope" and got["grape"]["root"] == "gropes" and got["grope"]["form_n"] == 30 and got["gropes"]["form"] is None
+
+
+def test_pieces_and_flushes_do_not_change_counts(spark, monkeypatch):
+    text = "alpha, Beta gammaÉ " * 300
+    whole = spelling.text_runs(text.encode().lower().decode())
+    monkeypatch.setattr(spelling, "PIECE", 7)
+    assert spelling.text_runs(text.encode().lower().decode()) == whole == {"alpha": 300, "beta": 300, "gammaÉ": 300}
+
+
+def test_equal_hashes_make_no_neighbours():
+    """Rows that share a key by collision only: their strings differ, so they are not neighbours."""
+    table = pa.table({"bucket": [0] * 4, "place": [1, 1, 1, -1], "id": [1, 2, 3, 4], "word": ["axc", "ayc", "qqq", "zz"], "n": [5, 7, 100, 9]})
+    assert sorted(spelling._neighbours(table).to_pylist(), key=lambda r: r["id"]) == [{"id": 1, "n_near": 1, "best_n": 7, "best_id": 2}, {"id": 2, "n_near": 1, "best_n": 5, "best_id": 1}]
+
+
+# 12
+
+
+def brute_runs(words_):
+    n, out = len(words_), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and words_[i] == words_[i + q]:
+                i += 1
+            size = i - s + q
+            if size >= max(6, 4 * q) and not any(words_[s : s + size - r] == words_[s + r : s + size] for r in range(1, q)):
+                out.append((s, size, q))
+            i += i == s
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def brute_digest(doc_id, text):
+    words_ = WORD.findall(text or "")
+    n = len(words_)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words_ = words_[:a] + [words_[a + (i - a) % p] for i in range(a, n)]
+    found = brute_runs(words_)
+    best = min(found, key=lambda r: (-r[1] / r[2], r[0], r[2]), default=None)
+    gone = {i for s, size, q in found for i in range(s + q, s + size)}
+    kept = " ".join(w for i, w in enumerate(words_) if i not in gone)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (doc_id, len(found), *(best or (None, None, None)), 1000 * best[1] // best[2] if best else None, sha("".join(f"{s},{size},{q}\n" for s, size, q in found)), sha(kept))
+
+
+def test_runs_equal_brute_force(spark, odd):
+    rnd = random.Random(12)
+    texts = []
+    for _ in range(300):
+        n, letters = rnd.choice([0, 1, 5, 6, 7, 30, 90, 200]), rnd.choice(["a", "ab", "abé", "abcdefghijkl"])
+        w = [rnd.choice(letters) for _ in range(n)]
+        if n > 8 and rnd.random() < 0.6:
+            a = rnd.randrange(n)
+            p = 1 + rnd.randrange(max(1, (n - a) // 3))
+            w = w[:a] + [w[a + (i - a) % p] for i in range(a, n)]
+        texts.append(rnd.choice([" ", "\n", " \x0b"]).join(w))
+    docs = docs_of(spark, texts)
+    got = [tuple(r) for r in repeats.digest(docs).collect()]
+    assert sorted(got) == [brute_digest(k, t) for k, t in enumerate(texts)]
+    assert sum(r[1] > 1 for r in got) > 20
+    many = sorted((tuple(r) for r in repeats.digest(odd).collect()), key=repr)
+    assert many == sorted((brute_digest(r["doc_id"], r["text"]) for r in odd.collect()), key=repr)
+    assert repeats.digest(odd.limit(0)).collect() == []
+
+
+def test_runs_of_documents_equal_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = {r["doc_id"]: tuple(r) for r in QUERIES["op12_periodic_runs"](spark, sf_dir).collect()}
+    want = {r["doc_id"]: brute_digest(r["doc_id"], r["text"]) for r in docs.collect()}
+    assert got == want
+
+
+def test_refinement_moves_little(monkeypatch):
+    """The smaller pieces alone are passed on: a periodic text of n words moves each only a few times."""
+    moved = []
+    plain = repeats.Classes.move
+    monkeypatch.setattr(repeats.Classes, "move", lambda self, m, g, k: (moved.append(len(m)), plain(self, m, g, k))[1])
+    words_ = [str(k % 500).encode() for k in range(20000)]
+    assert repeats.found_runs([words_])[0].tolist() == [[0, 20000, 500]]
+    assert sum(moved) < 40000
+
+
+def test_runs_and_collapsed_text(spark):
+    docs = docs_of(spark, ["so so so so so so good", "a b a b a b a b a", "x y z"])
+    got = {r["doc_id"]: (r["collapsed"], [tuple(x) for x in r["runs"]]) for r in repeats.periodic(docs).collect()}
+    assert got == {0: ("so good", [(0, 6, 1)]), 1: ("a b", [(0, 9, 2)]), 2: ("x y z", [])}
+
+
+# 13
+
+
+def test_fingerprints_on_odd_tables(spark, odd):
+    got = spotsigs.compare_edited(odd).collect()
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect() if r["doc_id"] is not None), key=lambda r: -r[0])
+    rows = {r["doc_id"]: r for r in got if r["doc_id"] is not None}
+    assert len(got) == odd.count() and sum(r["doc_id"] is None for r in got) == 1
+    for (k, text), (other, after) in zip(texts, texts[1:], strict=False):
+        third = len(text) // 3
+        if k != other and len({t for i, t in texts if i == other}) == 1 and sum(i == k for i, _ in texts) == 1:
+            assert rows[k]["edited_sha256"] == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()
+            assert rows[k]["n_chars"] == len(text)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert spotsigs.compare_edited(odd.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("parts", ["1", "7", "64"])
+def test_next_document_over_buckets(spark, parts):
+    """As one window over all rows would find it, whatever the buckets; a third of the rows under one id, and null ids."""
+    rnd = random.Random(13)
+    rows = [(rnd.choice([rnd.randrange(-(10**12), 10**12), 7, 7, None]) if k % 2 else k, f"text {k}") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("h", F.xxhash64("text"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = {r["text"]: r["next_text"] for r in spotsigs.with_next(docs, "doc_id", "h", ["text"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    order = [r["text"] for r in docs.orderBy(F.col("doc_id").desc_nulls_last(), F.col("h").desc()).collect()]
+    assert got == dict(zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_signatures_of_a_text(spark):
+    text = "The quick brown fox and the lazy dog. The quick brown fox"
+    chains = {" quick brown", "the quick brown", "and lazy dog", "the lazy dog"}
+    row = docs_of(spark, [text, "", "alone", "The QUICK brown fox, and the lazy dog: the quick (brown) fox!"]).select(spotsigs.signatures(F.col("text")).alias("s")).collect()
+    assert set(row[0]["s"]) == {hashlib.md5(c.encode()).hexdigest()[:8] for c in chains}
+    assert row[1]["s"] == [hashlib.md5(b"").hexdigest()[:8]] and row[2]["s"] == [hashlib.md5(b"alone").hexdigest()[:8]]
+    assert row[3]["s"] == row[0]["s"]
+    assert len(docs_of(spark, ["the " * 50000 + "end of it", "word " * 50000]).select(spotsigs.signatures(F.col("text")).alias("s")).collect()) == 2
+
+
+def test_likeness_is_jaccard_and_prunes_by_size(spark):
+    rnd = random.Random(3)
+    pool = [f"{k:08x}" for k in range(40)]
+    pairs = [(sorted(rnd.sample(pool, rnd.randint(1, 40))), sorted(rnd.sample(pool, rnd.randint(1, 40)))) for _ in range(300)]
+    pairs.append((pool, pool))
+    rows = spark.createDataFrame([("".join(a), "".join(b)) for a, b in pairs], "a string, b string")
+    for least in (0.0, 0.3, 0.75):
+        got = [r[0] for r in rows.select(spotsigs.likeness(F.col("a"), F.col("b"), least)).collect()]
+        for (a, b), x in zip(pairs, got, strict=True):
+            want = len(set(a) & set(b)) / len(set(a) | set(b))
+            assert abs(x - want) < 1e-12 if want >= least else x in (0.0, want)
