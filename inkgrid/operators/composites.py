@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geometry as g
 from ..functions import texts as t
 from ..functions.geometry import Box
 from . import shapes, spatial
@@ -19,12 +18,9 @@ def reading_order(x0: str = "x0", y0: str = "y0", x1: str = "x1", y1: str = "y1"
     return [F.col(x0).asc(), F.col(y1).desc(), F.col(x1).asc(), F.col(y0).desc()]
 
 
-def by_distance(nodes: DataFrame, source: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
-    """(page, source_id, id, distance, nth): the other nodes of a page by their distance to each source."""
-    pairs = spatial.prefixed(source, "s_", on).join(spatial.prefixed(nodes, "n_", on), list(on)).filter(F.col("s_id") != F.col("n_id"))
-    ranked = pairs.withColumn("distance", g.distance(Box.of("s_"), Box.of("n_")))
-    order = Window.partitionBy(*on, "s_id").orderBy("distance", "n_id")
-    return ranked.select(*on, F.col("s_id").alias("source_id"), F.col("n_id").alias("id"), "distance", F.row_number().over(order).alias("nth"))
+def by_distance(nodes: DataFrame, source: DataFrame, k: int, on: Sequence[str] = ("page",)) -> DataFrame:
+    """(page, source_id, id, distance, nth): the k other nodes of a page that are nearest to each source, nearest first."""
+    return spatial.nearest(source, nodes, k, on)
 
 
 def joined_inside(frames: DataFrame, texts: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:

@@ -10,12 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from ..functions import predicates as p
 from ..functions.geometry import Box
+from .graph import stored
 
 CELL, LEVELS = 64.0, 7
 #: Number of the level whose cells are the quadrants of the plane.
@@ -141,22 +142,80 @@ def _banded(df: DataFrame, prefix: str, low: str, high: str, on: Sequence[str],
     return prefixed(df, prefix, on).withColumn("_band", F.explode(F.sequence(at(low), at(high))))
 
 
-def neighbours(boxes: DataFrame, on: Sequence[str] = ("page",), band: float = 32.0) -> DataFrame:
+#: The four sides: (name, near edge of the seeker, far edge of the sought, mirrored, ends across).
+SIDES = [("left_id", "x0", "x1", 1, "y0", "y1"), ("right_id", "x1", "x0", -1, "y0", "y1"), ("below_id", "y0", "y1", 1, "x0", "x1"), ("above_id", "y1", "y0", -1, "x0", "x1")]
+
+
+def neighbours(boxes: DataFrame, on: Sequence[str] = ("page",), band: float = 32.0, reach: float = 32.0) -> DataFrame:
     """(page, id, left_id, right_id, below_id, above_id): the nearest aligned box on each side, ties to the smaller id.
 
-    Aligned boxes share a band of the other axis; each axis is one equi-join on bands and one aggregation.
+    All four sides are one question: a seeker stands at `at` and looks down its axis for the largest `at` that is not beyond its own,
+    among boxes that meet it across.  Boxes stand in bands across and in cells along the axis.  A round looks at the next cells only, twice
+    as many as the round before; what it finds is nearer than anything in cells not looked at, so only seekers without a find go on, while
+    cells are left in their page.
     """
-    found = None
-    for low, high, x0, x1, before, after in (("y0", "y1", "x0", "x1", "left_id", "right_id"), ("x0", "x1", "y0", "y1", "below_id", "above_id")):
-        a, b = _banded(boxes, "a_", low, high, on, band), _banded(boxes, "b_", low, high, on, band)
-        owner = F.col("_band") == F.floor(F.greatest(f"a_{low}", f"b_{low}") / band)
-        meet = (F.col(f"a_{low}") <= F.col(f"b_{high}")) & (F.col(f"b_{low}") <= F.col(f"a_{high}")) & (F.col("a_id") != F.col("b_id"))
-        pairs = a.join(b, [*on, "_band"]).filter(owner & meet)
-        back, forth = F.col(f"a_{x0}") - F.col(f"b_{x1}"), F.col(f"b_{x0}") - F.col(f"a_{x1}")
-        best = lambda d: F.min(F.when(d >= 0, F.struct(d.alias("d"), F.col("b_id").alias("i"))))["i"]
-        side = pairs.groupBy(*on, F.col("a_id").alias("id")).agg(best(back).alias(before), best(forth).alias(after))
-        found = side if found is None else found.join(side, [*on, "id"], "full")
-    return boxes.select(*on, "id").join(found, [*on, "id"], "left")
+    on = list(on)
+
+    def sides(near: bool) -> Column:
+        rows = []
+        for name, own, other, sign, low, high in SIDES:
+            edge = F.col(own if near else other) * sign
+            rows.append(F.struct(F.lit(name).alias("side"), edge.alias("at"), F.col(low).alias("low"), F.col(high).alias("high")))
+        return F.explode(F.array(*rows)).alias("s")
+
+    keys = [*on, "side"]
+    cell = F.floor(F.col("at") / reach).cast("long")
+    bands = F.explode(F.sequence(F.floor(F.col("low") / band).cast("long"), F.floor(F.col("high") / band).cast("long"))).alias("_band")
+    sought = boxes.select(*on, F.col("id").alias("other"), sides(False)).select(*on, "other", "s.*")
+    sought = stored(sought.select(*keys, F.col("at").alias("o_at"), F.col("low").alias("o_low"), F.col("high").alias("o_high"), "other", cell.alias("_cell"), bands), "sought")
+    ends = sought.groupBy(*keys).agg(F.min("_cell").alias("last"))
+    seekers = boxes.select(*on, "id", sides(True)).select(*on, "id", "s.*").withColumn("_home", cell).join(ends, keys)
+    found, near, far = [], 0, 1
+    while True:
+        probes = seekers.select(*keys, "id", "at", "low", "high", "_home", bands).withColumn("_cell", F.explode(F.sequence(F.col("_home") - far, F.col("_home") - near)))
+        meet = (F.col("low") <= F.col("o_high")) & (F.col("o_low") <= F.col("high")) & (F.col("id") != F.col("other")) & (F.col("o_at") <= F.col("at"))
+        owner = F.col("_band") == F.floor(F.greatest("low", "o_low") / band)
+        pairs = probes.join(sought, [*keys, "_band", "_cell"]).filter(owner & meet)
+        found.append(stored(pairs.groupBy(*keys, "id").agg(F.min(F.struct((F.col("at") - F.col("o_at")).alias("d"), "other"))["other"].alias("other")), "nearest"))
+        left = seekers.join(found[-1].select(*keys, "id"), [*keys, "id"], "left_anti").filter(F.col("_home") - far > F.col("last"))
+        seekers = stored(left, "seekers")
+        if seekers.isEmpty():
+            break
+        near, far = far + 1, 2 * far + 1
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    per_box = every.groupBy(*on, "id").agg(*[F.max(F.when(F.col("side") == name, F.col("other"))).alias(name) for name, *_ in SIDES])
+    return boxes.select(*on, "id").join(per_box, [*on, "id"], "left")
+
+
+def nearest(sources: DataFrame, nodes: DataFrame, k: int, on: Sequence[str] = ("page",), radius: float = 32.0) -> DataFrame:
+    """(page, source_id, id, distance, nth): the k nearest other nodes of each source by the distance of boxes, ties to the smaller id.
+
+    Sources look around in a radius on the grid; those that have not k nodes within it look again in twice the radius, until it spans
+    their page.
+    """
+    on = list(on)
+    both = sources.select(*on, "x0", "y0", "x1", "y1").unionByName(nodes.select(*on, "x0", "y0", "x1", "y1"))
+    span = both.groupBy(*on).agg((F.max("x1") - F.min("x0") + F.max("y1") - F.min("y0")).alias("_span"))
+    left = stored(sources.select(*on, "id", "x0", "y0", "x1", "y1").join(span, on), "sources")
+    found: DataFrame | None = None
+    order = Window.partitionBy(*on, "source_id").orderBy("distance", "id")
+    while not left.isEmpty():
+        around = left.select(*on, "id", "_span", *[F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1")], (F.col("x0") - radius).alias("x0"), (F.col("y0") - radius).alias("y0"), (F.col("x1") + radius).alias("x1"), (F.col("y1") + radius).alias("y1"))
+        # the grid's cells follow the radius
+        pairs = intersection(around, nodes.select(*on, "id", "x0", "y0", "x1", "y1"), on, extra=F.col("a_id") != F.col("b_id"), cell=max(CELL, radius))
+        apart = pairs.select(*on, F.col("a_id").alias("source_id"), F.col("b_id").alias("id"), F.col("a__span").alias("_span"), g.distance(Box.of("a__"), Box.of("b_")).alias("distance"))
+        # what lies within the radius is nearer than all that was not looked at
+        ranked = apart.filter((F.col("distance") <= radius) | (F.col("_span") <= radius)).withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k)
+        ranked = ranked.withColumn("_full", (F.count("*").over(Window.partitionBy(*on, "source_id")) == k) | (F.col("_span") <= radius))
+        now = stored(ranked.filter("_full").drop("_full", "_span"), "around")
+        found = now if found is None else found.unionByName(now)
+        done = now.select(*on, F.col("source_id").alias("id")).distinct()
+        left = stored(left.filter(F.col("_span") > radius).join(done, [*on, "id"], "left_anti"), "sources")
+        radius *= 2
+    empty = left.select(*on, F.col("id").alias("source_id"), "id", F.lit(0.0).alias("distance"), F.lit(0).alias("nth"))
+    return empty if found is None else found
 
 
 def enclosing(boxes: DataFrame, segments: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:

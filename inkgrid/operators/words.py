@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,9 +11,10 @@ from ..functions import geometry as g
 from ..functions import predicates as p
 from ..functions import texts as t
 from ..functions.geometry import Box
-from .graph import components
+from .graph import components, stored
 from .spatial import intersection
 
+BOX = ["x0", "y0", "x1", "y1"]
 NODE = ["id", "x0", "y0", "x1", "y1", "text", "left_right", "fontsize"]
 
 
@@ -99,21 +99,24 @@ def fraction_candidates(nodes: DataFrame, bars: DataFrame, on: Sequence[str] = (
 def fractions(nodes: DataFrame, bars: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
     """(page, node, bar, other, node_first): greedy fractions; a number or bar is used once.
 
-    Numbers are taken by id, each with its nearest bar and number that are still free; a page's candidates fit in a task.
+    Candidates are ranked by number, then by its nearest bar and other number.  A candidate is taken if it ranks first for all three
+    of its parts, whose other candidates go; then again among those that are left.  That gives what taking them one by one in the order
+    of ranks gives, in as many rounds as the longest chain of candidates that hold one another up, and no page is one task.
     """
     found = fraction_candidates(nodes, bars, on)
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used: set[tuple[str, int]] = set()
-        keep = []
-        for row in rows.sort_values(["node", "to_bar", "bar", "to_other", "other"], kind="stable").itertuples():
-            mine = {("n", row.node), ("b", row.bar), ("n", row.other)}
-            if not mine & used:
-                used |= mine
-                keep.append(row.Index)
-        return rows.loc[keep]
-
-    return found.groupBy(*on).applyInPandas(greedy, found.schema).select(*on, "node", "bar", "other", "node_first")
+    rank = F.struct("node", "to_bar", "bar", "to_other", "other")
+    left, taken = stored(found.select(*on, rank.alias("rank"), "node_first"), "candidates"), None
+    while not left.isEmpty():
+        parts = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"rank.{c}").alias("id")) for k, c in (("number", "node"), ("bar", "bar"), ("number", "other"))])
+        by_part = left.select(*on, "rank", "node_first", F.explode(parts).alias("part"))
+        first = by_part.groupBy(*on, "part").agg(F.min("rank").alias("first"))
+        wins = by_part.join(first, [*on, "part"]).groupBy(*on, "rank", "node_first").agg(F.min((F.col("rank") == F.col("first")).cast("int")).alias("wins"))
+        now = stored(wins.filter("wins = 1").drop("wins"), "taken")
+        taken = now if taken is None else taken.unionByName(now)
+        used = now.select(*on, F.explode(parts).alias("part"))
+        touched = by_part.join(used, [*on, "part"], "left_semi").select(*on, "rank")
+        left = stored(left.join(touched, [*on, "rank"], "left_anti"), "candidates")
+    return (left if taken is None else taken).select(*on, "rank.node", "rank.bar", "rank.other", "node_first")
 
 
 def fraction_nodes(nodes: DataFrame, bars: DataFrame, matched: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
@@ -127,11 +130,47 @@ def fraction_nodes(nodes: DataFrame, bars: DataFrame, matched: DataFrame, on: Se
     return out.withColumn("fontsize", F.when(F.col("left_right"), F.col("y1") - F.col("y0")).otherwise(F.col("x1") - F.col("x0")))
 
 
-def phrases(glyphs: DataFrame, bars: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
+def phrases(glyphs: DataFrame, bars: DataFrame, on: Sequence[str] = ("page",), allow_space: bool = False) -> DataFrame:
     """Glyphs to words, words to fractions, fractions and words to phrases: the last layer."""
-    layer1 = words(glyphs, on).select(*on, *NODE)
+    layer1 = stored(words(glyphs, on, allow_space).select(*on, *NODE), "words")
     matched = fractions(layer1, bars, on)
-    made = fraction_nodes(layer1, bars, matched, on)
+    made = stored(fraction_nodes(layer1, bars, matched, on), "fractions")
     used = made.select(*on, F.explode(F.array("top", "low")).alias("id"))
     layer2 = layer1.join(used, [*on, "id"], "left_anti").unionByName(made.select(*on, *NODE))
+    layer2 = stored(layer2, "layer2")
     return clustered(layer2, fraction_links(layer2, on), on)
+
+
+def growing(nodes: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
+    """(page, id, text, n, box, left_right): texts merged while the box of one, widened by a letter, meets another's.
+
+    A group's box is that of all its members, so words may join through a third one that neither reaches alone; it is widened
+    along the reading direction by the largest letter (length over code points) of its members, so a merge never reaches less than
+    its parts and the result does not depend on the order of merges.  Upright and turned texts stay apart.  Each round joins
+    the groups that grew in the last one with all groups on the grid.  Groups are named by their smallest id; texts are
+    read in the order of x0, or of y0 if turned, then id.
+    """
+    on = [*on]
+    keys = [*on, "left_right"]
+    letters = F.greatest(F.char_length("text"), F.lit(1))
+    size = F.when(F.col("left_right"), F.col("x1") - F.col("x0")).otherwise(F.col("y1") - F.col("y0"))
+    texts = nodes.filter(F.col("text").isNotNull())
+    groups = stored(texts.select(*keys, "id", *BOX, (size / letters).alias("margin"), F.lit(True).alias("grew")), "groups")
+    members = texts.select(*keys, F.col("id").alias("member"), F.col("id"))
+    while True:
+        mx, my = F.when(F.col("left_right"), F.col("margin")).otherwise(0.0), F.when(F.col("left_right"), 0.0).otherwise(F.col("margin"))
+        wide = groups.select(*keys, "id", "grew", (F.col("x0") - mx).alias("x0"), (F.col("y0") - my).alias("y0"), (F.col("x1") + mx).alias("x1"), (F.col("y1") + my).alias("y1"))
+        fresh = (F.col("a_id") != F.col("b_id")) & (F.col("a_grew") | F.col("b_grew"))
+        links = stored(intersection(wide, groups.select(*keys, "id", "grew", *BOX), keys, extra=fresh).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "meet")
+        if links.isEmpty():
+            break
+        named = components(links).withColumnsRenamed({"node": "id", "component": "to"})
+        joined = groups.join(named, "id", "left")
+        merged = joined.groupBy(*keys, F.coalesce("to", "id").alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("margin").alias("margin"), F.max(F.col("to").isNotNull()).alias("grew"))
+        groups = stored(merged, "groups")
+        members = stored(members.join(named, "id", "left").select(*keys, "member", F.coalesce("to", "id").alias("id")), "members")
+    place = F.when(F.col("left_right"), F.col("x0")).otherwise(F.col("y0"))
+    own = texts.select(*keys, F.col("id").alias("member"), F.struct(place.alias("at"), F.col("id").alias("i"), "text").alias("item"))
+    joined_texts = own.join(members, [*keys, "member"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    text = F.array_join(F.transform("items", lambda v: v["text"]), "")
+    return groups.join(joined_texts, [*keys, "id"]).select(*on, "id", text.alias("text"), F.size("items").cast("bigint").alias("n"), *BOX, "left_right")

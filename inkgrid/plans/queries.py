@@ -39,6 +39,7 @@ def r6(c: Column) -> Column:
 
 
 PAIRS = "v_boxes a JOIN v_boxes b ON a.page = b.page AND a.grp = b.grp AND a.id < b.id"
+PAGE_PAIRS = "v_boxes a JOIN v_boxes b ON a.page = b.page AND a.id < b.id"
 GAP_X = "greatest(0.0, a.x0 - b.x1, b.x0 - a.x1)"
 GAP_Y = "greatest(0.0, a.y0 - b.y1, b.y0 - a.y1)"
 
@@ -48,39 +49,39 @@ def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.prefixed(v, "a_", ["page", "grp"]).join(spatial.prefixed(v, "b_", ["page", "grp"]), ["page", "grp"]).filter(F.col("a_id") < F.col("b_id"))
 
 
-@query(
-    f"""SELECT a.id AS a_id, b.id AS b_id, {GAP_X} AS gap_x, {GAP_Y} AS gap_y, round(sqrt({GAP_X} * {GAP_X} + {GAP_Y} * {GAP_Y}), 6) AS distance,
+BBOX_GEOMETRY = f"""SELECT a.id AS a_id, b.id AS b_id, {GAP_X} AS gap_x, {GAP_Y} AS gap_y, round(sqrt({GAP_X} * {GAP_X} + {GAP_Y} * {GAP_Y}), 6) AS distance,
     round(sqrt(((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) * ((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2) + ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2) * ((a.y0 + a.y1) / 2 - (b.y0 + b.y1) / 2)), 6) AS middle,
     greatest(0.0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) AS shared_x, 2 * ((a.x1 - a.x0) + (a.y1 - a.y0)) AS perimeter,
-    a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AS holds FROM {PAIRS}""",
-    "v_boxes",
-)
+    a.x0 <= b.x0 AND a.y0 <= b.y0 AND a.x1 >= b.x1 AND a.y1 >= b.y1 AS holds FROM {{}}"""
+
+
+@query(BBOX_GEOMETRY.format(PAIRS), "v_boxes")
 def bbox_geometry(spark: SparkSession, sf: str) -> DataFrame:
     a, b = Box.of("a_"), Box.of("b_")
     return _pairs(spark, sf).select("a_id", "b_id", g.gap(a, b, False).alias("gap_x"), g.gap(a, b, True).alias("gap_y"), r6(g.distance(a, b)).alias("distance"), r6(g.midpoint_distance(a, b)).alias("middle"), g.overlap(a, b, False).alias("shared_x"), g.perimeter(a).alias("perimeter"), p.contains(a, b).alias("holds"))
 
 
-@query(
-    f"""SELECT a.id AS a_id, b.id AS b_id, round(CASE WHEN greatest(a.x0, b.x0) < least(a.x1, b.x1) AND greatest(a.y0, b.y0) < least(a.y1, b.y1)
+BBOX_AREA = """SELECT a.id AS a_id, b.id AS b_id, round(CASE WHEN greatest(a.x0, b.x0) < least(a.x1, b.x1) AND greatest(a.y0, b.y0) < least(a.y1, b.y1)
       THEN (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))
     WHEN greatest(a.x0, b.x0) = least(a.x1, b.x1) THEN CAST(0.1 AS DOUBLE) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))
-    WHEN greatest(a.y0, b.y0) = least(a.y1, b.y1) THEN (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * CAST(0.1 AS DOUBLE) ELSE 0 END, 6) AS area FROM {PAIRS}""",
-    "v_boxes",
-)
+    WHEN greatest(a.y0, b.y0) = least(a.y1, b.y1) THEN (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * CAST(0.1 AS DOUBLE) ELSE 0 END, 6) AS area FROM {}"""
+
+
+@query(BBOX_AREA.format(PAIRS), "v_boxes")
 def bbox_overlap_area(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("a_id", "b_id", r6(g.overlap_area(Box.of("a_"), Box.of("b_"))).alias("area"))
 
 
-@query(None)
+@query(BBOX_GEOMETRY.format(PAGE_PAIRS), "v_boxes")
 def bbox_geometry_page(spark: SparkSession, sf: str) -> DataFrame:
-    """`bbox_geometry` of all pairs of a page, whatever their groups: as many rows as pairs, so no SQL is compared on large tables."""
+    """`bbox_geometry` of all pairs of a page, whatever their groups: as many rows as pairs."""
     v, a, b = view(spark, sf, "v_boxes").drop("grp", "text"), Box.of("a_"), Box.of("b_")
     v = dealt(v, "id")
     pairs = spatial.prefixed(v, "a_", ["page"]).join(spatial.prefixed(v, "b_", ["page"]), ["page"]).filter(F.col("a_id") < F.col("b_id"))
     return pairs.select("a_id", "b_id", g.gap(a, b, False).alias("gap_x"), g.gap(a, b, True).alias("gap_y"), r6(g.distance(a, b)).alias("distance"), r6(g.midpoint_distance(a, b)).alias("middle"), g.overlap(a, b, False).alias("shared_x"), g.perimeter(a).alias("perimeter"), p.contains(a, b).alias("holds"))
 
 
-@query(None)
+@query(f"SELECT * FROM ({BBOX_AREA.format(PAGE_PAIRS + ' AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1')})", "v_boxes")
 def bbox_overlap_area_page(spark: SparkSession, sf: str) -> DataFrame:
     """Shared areas of all pairs of a page that meet, whatever their groups; other pairs share nothing and have no row."""
     v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
@@ -204,7 +205,7 @@ def _curves(spark: SparkSession, sf: str) -> DataFrame:
 
 def _matches(spark: SparkSession, sf: str) -> DataFrame:
     c = _curves(spark, sf)
-    return shapes.most_similar(c, c, "shape", "shape", 400.0, ["page"], F.col("q_shape") != F.col("c_shape"))
+    return shapes.nearest_curves(c, c, "shape", "shape", 400.0, ["page"])
 
 
 @query(SHAPES + " SELECT shape, match_id, distance FROM best", "v_segments")
@@ -223,28 +224,33 @@ def shape_group_division(spark: SparkSession, sf: str) -> DataFrame:
     return shapes.whole_groups(close, groups, "grp", "shape")
 
 
-VOTES = f""", f AS (SELECT id, page, {SLOPE} AS slope, {LENGTH} AS length, least(x0, x1) AS lx, least(y0, y1) AS ly FROM v_segments),
-    tpl AS (SELECT page AS shape, id AS line_id, slope, length, lx - min(lx) OVER w AS off_x, ly - min(ly) OVER w AS off_y, count(*) OVER w AS n_lines FROM f WHERE id < 16 * 4 WINDOW w AS (PARTITION BY page)),
+def _votes_sql(where: str) -> str:
+    """Every shape of four lines as a template; slopes and lengths meet in buckets as wide as their tolerance."""
+    return f""", f AS (SELECT id, page, page * 1000000 + (id // 16) // 4 AS own, {SLOPE} AS slope, {LENGTH} AS length, least(x0, x1) AS lx, least(y0, y1) AS ly FROM v_segments),
+    tpl AS (SELECT page, own AS shape, id AS line_id, slope, length, lx - min(lx) OVER w AS off_x, ly - min(ly) OVER w AS off_y, count(*) OVER w AS n_lines FROM f WINDOW w AS (PARTITION BY own)),
+    near AS (SELECT *, floor(slope / 0.1) + ds AS bs, floor(length / 0.5) + dl AS bl FROM tpl, (VALUES (-1), (0), (1)) a(ds), (VALUES (-1), (0), (1)) b(dl)),
     voted AS (SELECT f.page, CAST(floor(f.lx - off_x) AS BIGINT) AS cell_x, CAST(floor(f.ly - off_y) AS BIGINT) AS cell_y, shape, line_id, n_lines, f.id AS node_id,
-      least(1 - tanh(abs(f.slope - tpl.slope)), 1 - tanh(abs(f.length - tpl.length) / greatest(f.length, tpl.length, 0.001))) AS activation
-      FROM f JOIN tpl ON abs(f.slope - tpl.slope) <= 0.1 AND abs(f.length - tpl.length) <= 0.5),
+      least(1 - tanh(abs(f.slope - near.slope)), 1 - tanh(abs(f.length - near.length) / greatest(f.length, near.length, 0.001))) AS activation
+      FROM f JOIN near ON floor(f.slope / 0.1) = bs AND floor(f.length / 0.5) = bl AND abs(f.slope - near.slope) <= 0.1 AND abs(f.length - near.length) <= 0.5{where}),
     best AS (SELECT page, cell_x, cell_y, shape, line_id, any_value(n_lines) AS n_lines, max(activation) AS activation FROM voted WHERE activation > 0.8 GROUP BY ALL)
     SELECT page, cell_x, cell_y, shape, round(sum(activation) / any_value(n_lines), 6) AS score FROM best GROUP BY page, cell_x, cell_y, shape HAVING sum(activation) / any_value(n_lines) > 0.4"""
 
 
-@query(VOTES, "v_segments")
+@query(_votes_sql(" AND f.page = near.page"), "v_segments")
 def shape_votes(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapes of a page's own lines that the page's lines vote for, as a join of lines with template lines."""
     v = view(spark, sf, "v_segments")
-    templates = shapes.template_lines(v.filter(F.col("id") < 64).withColumn("shape", F.col("page")), "shape")
-    return shapes.found_shapes(shapes.votes(v, templates, "shape"), "shape", least=0.4).select("page", "cell_x", "cell_y", "shape", r6(F.col("score")).alias("score"))
+    templates = shapes.template_lines(v.withColumn("shape", _shape()), "shape").withColumn("page", F.floor(F.col("shape") / 1000000).cast("bigint"))
+    voted = shapes.votes(v, templates, "shape", within=["page"])
+    return shapes.found_shapes(voted, "shape", least=0.4).select("page", "cell_x", "cell_y", "shape", r6(F.col("score")).alias("score"))
 
 
-@query(None)
+@query(_votes_sql(""), "v_segments")
 def shape_votes_all(spark: SparkSession, sf: str) -> DataFrame:
-    """`shape_votes` with every shape of four lines as a template, numbered as in `line_set_distance_top1`."""
+    """`shape_votes` with the shapes of all pages as templates on every page, in blocks."""
     v = view(spark, sf, "v_segments")
     templates = shapes.template_lines(v.withColumn("shape", _shape()), "shape")
-    return shapes.found_shapes(shapes.votes(v, templates, "shape"), "shape", least=0.4).select("page", "cell_x", "cell_y", "shape", r6(F.col("score")).alias("score"))
+    return shapes.scored(dealt(v, "id"), templates, "shape", least=0.4).select("page", "cell_x", "cell_y", "shape", r6(F.col("score")).alias("score"))
 
 
 IS_NUMBER = "regexp_full_match(text, '[0-9]*\\.[0-9]+|[0-9]+/[0-9]+|[0-9]+')"
@@ -368,6 +374,16 @@ def nearest_in_direction(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.neighbours(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"))
 
 
+@query(
+    f""", d AS (SELECT a.page, a.id AS source_id, b.id, sqrt({GAP_X} * {GAP_X} + {GAP_Y} * {GAP_Y}) AS distance FROM v_boxes a JOIN v_boxes b ON a.page = b.page AND a.id <> b.id)
+    SELECT page, source_id, id, round(distance, 6) AS distance, nth FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY distance, id) AS nth FROM d) WHERE nth <= 3""",
+    "v_boxes",
+)
+def nearest_boxes(spark: SparkSession, sf: str) -> DataFrame:
+    v = dealt(view(spark, sf, "v_boxes").select("page", "id", "x0", "y0", "x1", "y1"), "id")
+    return composites.by_distance(v, v, 3).select("page", "source_id", "id", r6(F.col("distance")).alias("distance"), F.col("nth").cast("bigint").alias("nth"))
+
+
 @query(
     f""", s AS (SELECT page % 8 AS page, id, least(x0, x1) AS x0, greatest(x0, x1) AS x1, least(y0, y1) AS y0, greatest(y0, y1) AS y1, {SLOPE} AS slope FROM v_segments)
     SELECT b.page, b.id, max(s.x0) FILTER (WHERE abs(slope) > 5 AND s.y0 <= b.y0 AND s.y1 >= b.y1 AND s.x0 < b.x0) AS "left", max(s.y0) FILTER (WHERE abs(slope) < 0.5 AND s.x0 <= b.x0 AND s.x1 >= b.x1 AND s.y0 < b.y0) AS bottom,
@@ -414,9 +430,9 @@ def graph_q3_keys(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """, l AS MATERIALIZED (SELECT * FROM v_links), c AS MATERIALIZED (SELECT from_id AS id, to_id AS row_id FROM l WHERE link_type = 'cell_of_row')
-    SELECT id, row_id, CASE WHEN link_type = 'cell_of_row' THEN 'sibling' ELSE 'instance' END AS kind, from_id AS other FROM c JOIN l ON row_id = to_id WHERE id <> from_id""",
-    "v_links",
+    """WITH cells AS (SELECT p_partkey AS k FROM part), instances AS (SELECT DISTINCT l_partkey AS k, l_orderkey AS o FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders))
+    SELECT 'c' || a.k AS id, 'r' || a.k AS row_id, 'sibling' AS kind, 'c' || b.k AS other FROM cells a JOIN cells b ON a.k = b.k WHERE a.k <> b.k
+    UNION ALL SELECT 'c' || k, 'r' || k, 'instance', 'o' || o FROM cells JOIN instances USING (k)"""
 )
 def graph_hover(spark: SparkSession, sf: str) -> DataFrame:
     return graph.hover(view(spark, sf, "v_elems"), view(spark, sf, "v_links"))
@@ -458,7 +474,14 @@ def connected_components(spark: SparkSession, sf: str) -> DataFrame:
     return graph.components(near.select(F.col("a_id").alias("a"), F.col("b_id").alias("b")))
 
 
-@query(None)
+@query(
+    """, ends AS MATERIALIZED (SELECT from_id AS a, to_id AS b FROM v_links), node AS MATERIALIZED (SELECT a AS name, row_number() OVER (ORDER BY a) AS n FROM (SELECT a FROM ends UNION SELECT b FROM ends)),
+    ways AS MATERIALIZED (SELECT x.n AS a, y.n AS b FROM ends JOIN node x ON ends.a = x.name JOIN node y ON ends.b = y.name UNION SELECT y.n, x.n FROM ends JOIN node x ON ends.a = x.name JOIN node y ON ends.b = y.name),
+    label(n, component) USING KEY (n) AS (SELECT a, least(a, min(b)) FROM ways GROUP BY a
+      UNION SELECT w.a, min(l.component) FROM label l JOIN ways w ON w.b = l.n JOIN recurring.label r ON r.n = w.a WHERE l.component < r.component GROUP BY w.a)
+    SELECT x.name AS node, y.name AS component FROM label JOIN node x ON x.n = label.n JOIN node y ON y.n = label.component""",
+    "v_links",
+)
 def link_components(spark: SparkSession, sf: str) -> DataFrame:
     """Components of the elements that v_links links."""
     return graph.components(view(spark, sf, "v_links").select(F.col("from_id").alias("a"), F.col("to_id").alias("b")))

@@ -59,6 +59,46 @@ FROM orders o JOIN lineitem l ON o.o_orderkey = l.l_orderkey""",
 SELECT s_suppkey AS rule_id, s_suppkey % 8 AS page,
   CASE s_suppkey % 4 WHEN 0 THEN 'D' || CAST(s_suppkey % 50 + 1 AS VARCHAR(10)) WHEN 1 THEN 'A##' WHEN 2 THEN '3/4' ELSE '' END AS row_id
 FROM supplier""",
+    # glyphs of part names on crowded lines, some of them turned; digits above and below bars; labels inside rings
+    "v_glyphs": """
+SELECT p_partkey * 32 + k AS id, page, text, left_right, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1, CAST(y1 AS DOUBLE) AS y1, CAST(size AS DOUBLE) AS fontsize FROM (
+  SELECT p_partkey, k, page, substr(p_name, k + 1, 1) AS text, NOT turned AS left_right, h AS size,
+    CASE WHEN turned THEN bx ELSE bx + 6 * k END AS x0, CASE WHEN turned THEN by0 + 6 * k ELSE by0 END AS y0,
+    CASE WHEN turned THEN bx + h ELSE bx + 6 * k + 6 END AS x1, CASE WHEN turned THEN by0 + 6 * k + 6 ELSE by0 + h END AS y1
+  FROM (SELECT p_partkey, p_name, CAST(floor(p_partkey / 50) AS BIGINT) AS page, p_partkey % 9 = 0 AS turned, (p_partkey * 37 % 30) * 12 AS bx, (p_partkey * 91 % 20) * 24 + p_size % 3 AS by0, CASE WHEN p_size % 5 = 0 THEN 14 ELSE 10 END AS h FROM part) p
+    JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) AS n(k) ON k < length(p_name)
+  UNION ALL
+  SELECT p_partkey, k, page, CASE k WHEN 24 THEN CAST(p_size % 10 AS VARCHAR(2)) WHEN 25 THEN CAST((p_size + 1) % 10 AS VARCHAR(2)) ELSE 'x' END, TRUE, 10,
+    CASE k WHEN 26 THEN bx + 10 ELSE bx END, CASE k WHEN 24 THEN 1020 WHEN 25 THEN 1000 ELSE 1010 END, CASE k WHEN 26 THEN bx + 16 ELSE bx + 10 END, CASE k WHEN 24 THEN 1030 WHEN 25 THEN 1010 ELSE 1020 END
+  FROM (SELECT p_partkey, p_size, CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(floor((p_partkey % 50) / 3) AS BIGINT) * 14 + p_size % 5 AS bx FROM part WHERE p_partkey % 3 = 0) p
+    JOIN (VALUES (24), (25), (26)) AS n(k) ON k < 26 OR p_partkey % 6 = 0
+  UNION ALL
+  SELECT 1000000000 + s_suppkey, k, CAST(floor(s_suppkey * 2 / 5) AS BIGINT), CASE WHEN k = 1 THEN CAST(s_suppkey % 10 AS VARCHAR(2)) WHEN s_suppkey % 2 = 0 THEN 'D' ELSE 'W' END, TRUE, 10,
+    1000 + (s_suppkey % 5) * 200 + 6 * k - 6, 95, 1000 + (s_suppkey % 5) * 200 + 6 * k, 105
+  FROM supplier JOIN (VALUES (0), (1)) AS n(k) ON s_suppkey % 7 > 0
+) g""",
+    "v_bars": """
+SELECT p_partkey * 32 + k AS id, CAST(floor(p_partkey / 50) AS BIGINT) AS page, CAST(bx AS DOUBLE) AS x0, CAST(1015 - k % 2 AS DOUBLE) AS y0, CAST(bx + 10 AS DOUBLE) AS x1, CAST(1015 - k % 2 AS DOUBLE) AS y1, CAST(10 AS DOUBLE) AS length
+FROM (SELECT p_partkey, CAST(floor((p_partkey % 50) / 3) AS BIGINT) * 14 + p_size % 5 AS bx FROM part WHERE p_partkey % 3 = 0) p
+  JOIN (VALUES (28), (29)) AS n(k) ON k = 28 OR p_partkey % 5 = 0""",
+    # rings of lines: regular ones, stars, open ones, some with a chord or a tail
+    "v_rings": """
+SELECT s_suppkey * 64 + k AS id, s_suppkey AS ring, page, round(x0, 6) AS x0, round(y0, 6) AS y0, round(x1, 6) AS x1, round(y1, 6) AS y1 FROM (
+  SELECT s_suppkey, k, page,
+    cx + ra * cos(2 * pi() * CASE WHEN k < 24 THEN k ELSE 0 END / n) AS x0, 100.5 + ra * sin(2 * pi() * CASE WHEN k < 24 THEN k ELSE 0 END / n) AS y0,
+    CASE WHEN k = 25 THEN cx + r + 5 ELSE cx + rb * cos(2 * pi() * (j % n) / n) END AS x1, CASE WHEN k = 25 THEN 107.5 ELSE 100.5 + rb * sin(2 * pi() * (j % n) / n) END AS y1
+  FROM (SELECT *, CASE WHEN star AND k < 24 AND k % 2 = 1 THEN r / 2 ELSE r END AS ra, CASE WHEN star AND j % n % 2 = 1 THEN r / 2 ELSE r END AS rb FROM (
+    SELECT *, CASE WHEN k = 24 THEN CAST(floor(n / 2) AS BIGINT) ELSE k + 1 END AS j FROM (
+      SELECT s_suppkey, CAST(floor(s_suppkey * 2 / 5) AS BIGINT) AS page, CAST(1000.5 + (s_suppkey % 5) * 200 AS DOUBLE) AS cx, CAST(20 + s_nationkey AS DOUBLE) AS r, s_suppkey % 6 = 4 AS star,
+        CASE s_suppkey % 6 WHEN 0 THEN 24 WHEN 1 THEN 12 WHEN 3 THEN 20 WHEN 5 THEN 18 ELSE 6 END AS n FROM supplier) a
+      JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25)) AS m(k)
+        ON (k < n AND NOT (s_suppkey % 6 = 5 AND k = 17)) OR (k = 24 AND s_suppkey % 4 = 1) OR (k = 25 AND s_suppkey % 5 = 0)) c) d) e""",
+    # one text for each part, crowded on short lines
+    "v_scraps": """
+SELECT p_partkey AS id, CAST(floor(p_partkey / 200) AS BIGINT) AS page, substr(p_name, 1, 1 + p_size % 3) AS text, p_partkey % 7 <> 0 AS left_right,
+  CAST((p_partkey * 37) % 61 AS DOUBLE) AS x0, CAST(((p_partkey * 91) % 40) * 20 + p_size % 4 AS DOUBLE) AS y0,
+  CAST((p_partkey * 37) % 61 + 4 + p_size % 9 AS DOUBLE) AS x1, CAST(((p_partkey * 91) % 40) * 20 + p_size % 4 + 8 + (p_size % 5) * 2 AS DOUBLE) AS y1
+FROM part""",
 }
 
 

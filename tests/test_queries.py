@@ -3,9 +3,10 @@ from __future__ import annotations
 import pytest
 
 import inkgrid.plans.document  # noqa: F401  (registers its queries)
+import inkgrid.plans.pages  # noqa: F401
 import inkgrid.plans.scalars  # noqa: F401
-from inkgrid.plans.queries import ORACLE, QUERIES, VOTES
-from inkgrid.plans.views import view, with_views
+from inkgrid.plans.queries import ORACLE, QUERIES
+from inkgrid.plans.views import view
 
 from .oracle import same
 
@@ -71,14 +72,3 @@ def test_link_components(spark, sf_dir):
         parent[y] = x
     rows = QUERIES["link_components"](spark, sf_dir).collect()
     assert len(rows) == len(parent) and {r.node: r.component for r in rows} == {x: find(x) for x in list(parent)}
-
-
-def test_all_shapes_vote(spark, sf_dir):
-    """Against the SQL of shape_votes with every four-line shape as a template."""
-    sql = VOTES
-    for old, new in (("SELECT page AS shape, id AS line_id", "SELECT shape, id AS line_id"), ("FROM f WHERE id < 16 * 4 WINDOW w AS (PARTITION BY page)", "FROM (SELECT *, page * 1000000 + (id // 16) // 4 AS shape FROM f) WINDOW w AS (PARTITION BY shape)")):
-        assert old in sql
-        sql = sql.replace(old, new)
-    same(spark, sf_dir, "shape_votes_all", QUERIES["shape_votes_all"], with_views(sql, "v_segments"))
-    few, every = ({r.shape for r in QUERIES[n](spark, sf_dir).select("shape").distinct().collect()} for n in ("shape_votes", "shape_votes_all"))
-    assert len(every) > 10 * len(few)
