@@ -141,3 +141,30 @@ def joined_text(nodes: Column) -> Column:
 def joined_cells(items: Column) -> Column:
     """Text of an ordered array of struct(text): anything without text between texts reads "/"."""
     return F.aggregate(items, F.lit(""), lambda out, n: F.when(n["text"].isNotNull(), F.concat(out, n["text"])).when((F.length(out) > 0) & (F.substring(out, -1, 1) != "/"), F.concat(out, F.lit("/"))).otherwise(out))
+
+
+#: What a measure is made of, and how its units read.
+MEASURE = "[0-9]+/[0-9]+|[0-9]*\\.[0-9]+|[0-9]+|'|\"|feet|foot|ft|inches|inch|in"
+FEET, INCHES = ("'", "feet", "foot", "ft"), ('"', "inches", "inch", "in")
+
+
+def feet(text: Column) -> Column:
+    """A measure such as 12' 6 1/2" in feet: numbers and fractions add up until a unit takes them; without one they are feet.
+
+    Null for a text without a number.
+    """
+    tokens = F.regexp_extract_all(F.lower(text), F.lit(MEASURE), F.lit(0))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("open"))
+
+    def step(s: Column, t: Column) -> Column:
+        part = F.split(t, "/")
+        value = F.when(F.size(part) == 2, F.try_divide(part[0].try_cast("double"), part[1].try_cast("double"))).otherwise(t.try_cast("double"))
+        total = F.when(t.isin(*FEET), s["total"] + s["open"]).when(t.isin(*INCHES), s["total"] + s["open"] / 12).otherwise(s["total"])
+        return F.struct(total.alias("total"), F.when(t.isin(*FEET, *INCHES), 0.0).otherwise(s["open"] + F.coalesce(value, F.lit(0.0))).alias("open"))
+
+    return F.when(F.exists(tokens, lambda t: t.rlike("[0-9]")), F.aggregate(tokens, start, step, lambda s: s["total"] + s["open"]))
+
+
+def measures(text: Column) -> Column:
+    """array of the measures of a text such as 12' x 9', in feet."""
+    return F.filter(F.transform(F.split(F.lower(text), "x|by"), feet), lambda v: v.isNotNull())

@@ -66,6 +66,15 @@ def measured_rooms(labels: DataFrame, segments: DataFrame, texts: DataFrame, on:
     return joined_inside(rooms, texts, on).withColumn("labels", t.label_map(F.col("text")))
 
 
+def room_areas(labels: DataFrame, segments: DataFrame, texts: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
+    """(page, id, text, area): the measures inside the tightest lines around each label, and the product of the first two in square feet.
+
+    A label without lines on all four sides has no row, a room of fewer than two measures no area.
+    """
+    sizes = t.measures(F.col("text"))
+    return measured_rooms(labels, segments, texts, on).withColumn("area", F.get(sizes, F.lit(0)) * F.get(sizes, F.lit(1))).select(*on, "id", "text", "area")
+
+
 def shape_counts(segments: DataFrame, templates: DataFrame, shape: str, on: Sequence[str] = ("page",), least: float = shapes.SHAPE) -> DataFrame:
     """(shape, n): how often each template is found."""
     return shapes.found_shapes(shapes.votes(segments, templates, shape, on), shape, on, least).groupBy(shape).agg(F.count("*").alias("n"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -29,6 +29,25 @@ def summed_over_rows(elems: DataFrame, links: DataFrame, values: DataFrame) -> D
     return found.groupBy("mnfct").agg(F.sum("value").alias("total"), F.count("*").alias("n"))
 
 
+def field(data: Column, name: str, as_type: str = "string") -> Column:
+    """A field of an element's JSON data; null where the field, or valid JSON, is missing."""
+    return F.try_variant_get(F.try_parse_json(data), f"$.{name}", as_type)
+
+
+def area_by_finish(elems: DataFrame, links: DataFrame, finish: str) -> DataFrame:
+    """(finish, rooms, square_feet): areas of the rooms whose schedule row has a cell with that finish.
+
+    The path is cell to row by its link, row to room by the room's name, room to its areas.  A room counts once for
+    each finish, however many rows and cells say so; rooms that no such cell leads to are summed under a null finish.
+    """
+    of = lambda kind: elems.filter(F.col("elem_type") == kind)
+    cells = of("schedule_cell").select(F.col("id").alias("from_id"), field(F.col("data"), finish).alias("finish")).filter(F.col("finish").isNotNull())
+    rows = of("schedule_row").select(F.col("id").alias("to_id"), field(F.col("data"), "name_of_room").alias("room")).filter(F.col("room").isNotNull())
+    finishes = links.filter(F.col("link_type") == "cell_of_row").join(cells, "from_id").join(rows, "to_id").select("finish", "room").distinct()
+    areas = of("square_feet").select(field(F.col("data"), "name_of_room").alias("room"), field(F.col("data"), "square_feet", "double").alias("area")).groupBy("room").agg(F.sum("area").alias("area"))
+    return areas.join(finishes, "room", "left").groupBy("finish").agg(F.count("*").alias("rooms"), F.sum("area").alias("square_feet"))
+
+
 def keys_linked(elems: DataFrame, links: DataFrame) -> DataFrame:
     """(elem_type, link_type): which types of elements have which links."""
     return elems.join(links, elems["id"] == links["from_id"]).select("elem_type", "link_type").distinct()

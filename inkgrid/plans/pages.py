@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cycles, layers, shapes, words
-from .queries import LENGTH, SLOPE, query
+from ..operators import composites, cycles, graph, layers, shapes, titles, words
+from .queries import LENGTH, SLOPE, query, r6
 from .views import dealt, view
 
 
@@ -228,3 +228,51 @@ def _activated(spark: SparkSession, sf: str) -> DataFrame:
 @query(f", {WORDS}, {FRACTIONS}, {PHRASES}, {CYCLES}, {SHAPES_FOUND}, {LAYERS}", "v_glyphs", "v_bars", "v_rings")
 def layer_activation(spark: SparkSession, sf: str) -> DataFrame:
     return _activated(spark, sf).withColumn("children", F.array_join("children", ","))
+
+
+# rooms
+
+_TOKENS = """regexp_extract_all(part, '[0-9]+/[0-9]+|[0-9]*\\.[0-9]+|[0-9]+|''|"|feet|foot|ft|inches|inch|in')"""
+ROOMS = f"""bounds AS (SELECT b.page, b.id, max(s.x0) FILTER (WHERE s.x0 = s.x1 AND least(s.y0, s.y1) <= b.y0 AND greatest(s.y0, s.y1) >= b.y1 AND s.x0 < b.x0) AS x0, max(s.y0) FILTER (WHERE s.y0 = s.y1 AND least(s.x0, s.x1) <= b.x0 AND greatest(s.x0, s.x1) >= b.x1 AND s.y0 < b.y0) AS y0,
+      min(s.x1) FILTER (WHERE s.x0 = s.x1 AND least(s.y0, s.y1) <= b.y0 AND greatest(s.y0, s.y1) >= b.y1 AND s.x1 > b.x1) AS x1, min(s.y1) FILTER (WHERE s.y0 = s.y1 AND least(s.x0, s.x1) <= b.x0 AND greatest(s.x0, s.x1) >= b.x1 AND s.y1 > b.y1) AS y1
+      FROM v_room_texts b JOIN v_room_lines s ON s.page = b.page WHERE regexp_matches(b.text, '^[0-9]') GROUP BY b.page, b.id),
+    room AS (SELECT b.page, b.id, string_agg(t.text, '' ORDER BY t.x0, t.id) AS text FROM bounds b JOIN v_room_texts t ON t.page = b.page AND b.x0 <= t.x0 AND b.y0 <= t.y0 AND b.x1 >= t.x1 AND b.y1 >= t.y1 GROUP BY b.page, b.id),
+    part AS (SELECT page, id, nth, part, list_transform({_TOKENS}, lambda t: {{'v': CASE WHEN contains(t, '/') THEN try_cast(split_part(t, '/', 1) AS DOUBLE) / try_cast(split_part(t, '/', 2) AS DOUBLE) ELSE coalesce(try_cast(t AS DOUBLE), 0) END,
+      'u': CASE WHEN t IN (chr(39), 'feet', 'foot', 'ft') THEN 1.0::DOUBLE WHEN t IN ('"', 'inches', 'inch', 'in') THEN 12.0::DOUBLE ELSE 0.0::DOUBLE END, 'total': 0.0::DOUBLE}}) AS tokens
+      FROM (SELECT page, id, unnest(regexp_split_to_array(lower(text), 'x|by')) AS part, generate_subscripts(regexp_split_to_array(lower(text), 'x|by'), 1) AS nth FROM room) s),
+    measure AS (SELECT page, id, nth, list_reduce(list_prepend({{'v': 0.0::DOUBLE, 'u': 0.0::DOUBLE, 'total': 0.0::DOUBLE}}, tokens), lambda s, t: {{'v': CASE WHEN t.u > 0 THEN 0.0::DOUBLE ELSE s.v + t.v END, 'u': 0.0::DOUBLE, 'total': CASE WHEN t.u > 0 THEN s.total + s.v / t.u ELSE s.total END}}) AS f
+      FROM part WHERE regexp_matches(part, '[0-9]')),
+    sized AS (SELECT page, id, list(f.total + f.v ORDER BY nth) AS sizes FROM measure GROUP BY page, id)
+    SELECT r.page, r.id, text, round(sizes[1] * sizes[2], 6) AS area FROM room r LEFT JOIN sized s USING (page, id)"""
+
+
+@query(", " + ROOMS, "v_room_lines", "v_room_texts")
+def room_areas(spark: SparkSession, sf: str) -> DataFrame:
+    texts = view(spark, sf, "v_room_texts")
+    labels = texts.filter(F.col("text").rlike("^[0-9]"))
+    return composites.room_areas(labels.select("page", "id", "x0", "y0", "x1", "y1"), view(spark, sf, "v_room_lines"), texts).withColumn("area", r6(F.col("area")))
+
+
+@query(
+    """, cell AS (SELECT id, json_extract_string(data, '$.ceiling') AS finish FROM v_facts WHERE elem_type = 'schedule_cell'), facts AS (SELECT id, json_extract_string(data, '$.name_of_room') AS room FROM v_facts WHERE elem_type = 'schedule_row'),
+    finishes AS (SELECT DISTINCT finish, room FROM v_fact_links l JOIN cell c ON l.from_id = c.id JOIN facts r ON l.to_id = r.id WHERE finish IS NOT NULL),
+    areas AS (SELECT json_extract_string(data, '$.name_of_room') AS room, sum(CAST(json_extract_string(data, '$.square_feet') AS DOUBLE)) AS area FROM v_facts WHERE elem_type = 'square_feet' GROUP BY ALL)
+    SELECT finish, count(*) AS rooms, sum(area) AS square_feet FROM areas LEFT JOIN finishes USING (room) GROUP BY finish""",
+    "v_facts", "v_fact_links",
+)
+def graph_room_area(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.area_by_finish(view(spark, sf, "v_facts"), view(spark, sf, "v_fact_links"), "ceiling")
+
+
+@query(
+    """, corner AS (SELECT doc, page, string_agg(text, ' ' ORDER BY y0 DESC, id) AS name FROM v_titles WHERE x0 >= page_width - 251 AND x1 <= page_width AND y0 >= 0 AND y1 <= 288 AND parent IS NULL AND NOT regexp_matches(replace(lower(text), chr(10), ''), '[a-zA-Z]-[0-9][0-9]?') AND replace(lower(text), chr(10), '') NOT IN ('drawing title', 'drawing number') GROUP BY doc, page),
+    anchor AS (SELECT * FROM v_titles WHERE regexp_matches(lower(text), '^project name.{0,2}') AND x0 / page_width >= 0.8 AND y0 / page_height <= 0.4),
+    below AS (SELECT a.doc, a.page, a.id AS anchor, t.id, t.y0, t.text, contains(lower(t.text), 'drawing title') AS title FROM anchor a JOIN v_titles t ON a.doc = t.doc AND a.page = t.page AND t.parent IS NULL AND t.x0 >= a.x0 - 10 AND t.x1 <= a.page_width AND t.y0 >= 0 AND t.y1 <= a.y0),
+    scan AS (SELECT *, row_number() OVER w AS nth, bool_or(title) OVER w AS ended, bool_or(title) OVER (PARTITION BY doc, page, anchor) AS any_title FROM below WINDOW w AS (PARTITION BY doc, page, anchor ORDER BY y0 DESC, id ROWS UNBOUNDED PRECEDING)),
+    house AS (SELECT a.doc, a.page, a.id AS anchor, coalesce(trim(string_agg(replace(s.text, chr(10), ' '), '' ORDER BY s.y0 DESC, s.id)), '') AS name FROM anchor a LEFT JOIN scan s ON s.doc = a.doc AND s.page = a.page AND s.anchor = a.id AND NOT ended AND (any_title OR nth <= 3) AND NOT starts_with(lower(s.text), 'owner') GROUP BY ALL),
+    last AS (SELECT doc, arg_max(name, (page, anchor)) AS house_name FROM house GROUP BY doc)
+    SELECT p.doc, p.page, coalesce(replace(trim(name), chr(10), ' '), '') AS page_name, house_name FROM (SELECT DISTINCT doc, page FROM v_titles) p LEFT JOIN corner c ON c.doc = p.doc AND c.page = p.page LEFT JOIN last l ON l.doc = p.doc""",
+    "v_titles",
+)
+def document_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return titles.document_titles(view(spark, sf, "v_titles"))

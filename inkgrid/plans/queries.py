@@ -580,19 +580,39 @@ def nms_intended(spark: SparkSession, sf: str) -> DataFrame:
     "v_progress",
 )
 def streaming_progress(spark: SparkSession, sf: str) -> DataFrame:
-    """The progress aggregation as a stream over the events, its final state read back."""
-    import uuid
-
+    """The progress aggregation as a change feed: updates of a stream over the events, merged by key."""
     from ..streaming.progress import latest_progress
 
-    folder = f"{graph.shared_folder(spark)}/inkgrid-stream-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(base(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     kind = F.col("event_type")
-    updates = events.select(F.col("user_id").alias("pdf_id"), F.col("event_id").alias("seq"), "ts", F.when(kind.isin("view", "click"), F.col("event_id")).alias("curr_step"), F.when(kind == "error", F.col("props")).alias("msg"), F.when(kind == "purchase", F.lit(True)).alias("success"))
-    state = latest_progress(updates)
-    run = state.writeStream.outputMode("complete").option("checkpointLocation", f"{folder}/offsets").trigger(availableNow=True).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{folder}/state")).start()
-    run.awaitTermination()
-    return spark.read.schema(state.schema).parquet(f"{folder}/state")
+    updates = _event_stream(spark, sf).select(F.col("user_id").alias("pdf_id"), F.col("event_id").alias("seq"), "ts", F.when(kind.isin("view", "click"), F.col("event_id")).alias("curr_step"), F.when(kind == "error", F.col("props")).alias("msg"), F.when(kind == "purchase", F.lit(True)).alias("success"))
+    return _fed(spark, latest_progress(updates), "pdf_id")
+
+
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.readStream.schema(base(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+
+
+def _fed(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
+    """The table of a feed over the input at hand."""
+    from ..streaming import feed
+
+    folder = feed.fresh_folder(graph.shared_folder(spark), "feed")
+    feed.started(stream, folder).awaitTermination()
+    return feed.table(spark, folder, stream.schema, key)
+
+
+@query(
+    """, s AS (SELECT *, lead(page_ts) OVER (PARTITION BY doc ORDER BY page_ts, sched_id) AS next_ts FROM v_schedules)
+    SELECT m.doc, m.mark_id, s.sched_id AS schedule_id FROM v_marks m JOIN s ON m.doc = s.doc AND m.page_ts >= s.page_ts AND (s.next_ts IS NULL OR m.page_ts < s.next_ts)""",
+    "v_schedules", "v_marks",
+)
+def streaming_scope(spark: SparkSession, sf: str) -> DataFrame:
+    """`rule_scope_asof` as a stream with state by document."""
+    from ..streaming.feed import carried
+
+    kind = F.when(F.col("event_type") == "signup", "schedule").when(F.col("event_type") == "view", "mark")
+    pages = _event_stream(spark, sf).select(F.col("user_id").alias("doc"), F.col("ts").alias("page"), kind.alias("kind"), F.col("event_id").alias("id")).filter(F.col("kind").isNotNull())
+    return _fed(spark, carried(pages), "mark_id").select("doc", "mark_id", "schedule_id")
 
 
 @query(

@@ -93,6 +93,35 @@ SELECT s_suppkey * 64 + k AS id, s_suppkey AS ring, page, round(x0, 6) AS x0, ro
         CASE s_suppkey % 6 WHEN 0 THEN 24 WHEN 1 THEN 12 WHEN 3 THEN 20 WHEN 5 THEN 18 ELSE 6 END AS n FROM supplier) a
       JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13), (14), (15), (16), (17), (18), (19), (20), (21), (22), (23), (24), (25)) AS m(k)
         ON (k < n AND NOT (s_suppkey % 6 = 5 AND k = 17)) OR (k = 24 AND s_suppkey % 4 = 1) OR (k = 25 AND s_suppkey % 5 = 0)) c) d) e""",
+    # rooms: four lines, sometimes one across, and texts with measures
+    "v_room_lines": """
+SELECT p_partkey * 16 + k AS id, page, CAST(bx + x0 AS DOUBLE) AS x0, CAST(by0 + y0 AS DOUBLE) AS y0, CAST(bx + x1 AS DOUBLE) AS x1, CAST(by0 + y1 AS DOUBLE) AS y1
+FROM (SELECT p_partkey, p_size, CAST(floor(p_partkey / 50) AS BIGINT) AS page, (p_partkey % 10) * 100 AS bx, CAST(floor(p_partkey % 50 / 10) AS BIGINT) * 100 AS by0 FROM part) p
+  JOIN (VALUES (0, 5, 5, 5, 75), (1, 85, 5, 85, 75), (2, 5, 5, 85, 5), (3, 5, 75, 85, 75), (4, 40, 5, 40, 75)) AS l(k, x0, y0, x1, y1)
+    ON CASE k WHEN 4 THEN p_partkey % 7 = 0 WHEN 3 THEN p_partkey % 11 > 0 ELSE p_size > 0 END""",
+    "v_room_texts": """
+SELECT p_partkey * 16 + 8 + k AS id, page, CAST(bx + x0 AS DOUBLE) AS x0, CAST(by0 + 30 AS DOUBLE) AS y0, CAST(bx + x1 AS DOUBLE) AS x1, CAST(by0 + 40 AS DOUBLE) AS y1,
+  CASE k WHEN 1 THEN ' x ' WHEN 0 THEN CAST(8 + p_size % 9 AS VARCHAR(4)) || CASE p_partkey % 4 WHEN 0 THEN chr(39) WHEN 1 THEN chr(39) || ' 6"' WHEN 2 THEN chr(39) || ' 6 1/2"' ELSE ' feet' END
+    ELSE CASE p_partkey % 5 WHEN 0 THEN CAST(90 + p_size AS VARCHAR(4)) || ' inches' WHEN 1 THEN '9.5' WHEN 2 THEN p_name ELSE CAST(7 + p_size % 6 AS VARCHAR(4)) || chr(39) END END AS text
+FROM (SELECT p_partkey, p_size, p_name, CAST(floor(p_partkey / 50) AS BIGINT) AS page, (p_partkey % 10) * 100 AS bx, CAST(floor(p_partkey % 50 / 10) AS BIGINT) * 100 AS by0 FROM part) p
+  CROSS JOIN (VALUES (0, 10, 30), (1, 32, 36), (2, 44, 70)) AS t(k, x0, x1)""",
+    # rows, cells and areas of rooms with their data as JSON
+    "v_facts": """
+SELECT 's' || CAST(s_suppkey AS VARCHAR(20)) AS id, 'schedule_row' AS elem_type, '{"name_of_room": "Room ' || CAST(s_suppkey % 37 AS VARCHAR(20)) || '"}' AS data FROM supplier
+UNION ALL
+SELECT 'c' || CAST(p_partkey AS VARCHAR(20)), 'schedule_cell', CASE p_partkey % 4 WHEN 0 THEN '{"ceiling": "C' || CAST(p_size % 5 AS VARCHAR(4)) || '"}' WHEN 1 THEN '{"floor": "F' || CAST(p_size % 3 AS VARCHAR(4)) || '", "ceiling": null}' WHEN 2 THEN '{"ceiling": "C9", "floor": 2}' ELSE '{"name": "' || p_name || '"}' END FROM part
+UNION ALL
+SELECT 'q' || CAST(c_custkey AS VARCHAR(20)), 'square_feet', '{"name_of_room": "Room ' || CAST(c_custkey % 53 AS VARCHAR(20)) || '", "square_feet": ' || CAST(100 + c_custkey % 400 AS VARCHAR(20)) || '}' FROM customer""",
+    "v_fact_links": "SELECT 'c' || CAST(p_partkey AS VARCHAR(20)) AS from_id, 's' || CAST(CAST(floor(p_partkey / 20) AS BIGINT) AS VARCHAR(20)) AS to_id, 'cell_of_row' AS link_type FROM part",
+    # title blocks on three pages of each document
+    "v_titles": """
+SELECT s_suppkey AS doc, page, k AS id, CAST(x0 AS DOUBLE) AS x0, CAST(y0 - (s_suppkey * k) % 7 AS DOUBLE) AS y0, CAST(x0 + 150 AS DOUBLE) AS x1, CAST(y0 + 10 - (s_suppkey * k) % 7 AS DOUBLE) AS y1, CAST(3000 AS DOUBLE) AS page_width, CAST(2000 AS DOUBLE) AS page_height,
+  CASE k WHEN 1 THEN 'Floor Plan ' || CAST(page AS VARCHAR(4)) WHEN 2 THEN s_name WHEN 3 THEN 'A-' || CAST(page AS VARCHAR(4)) WHEN 7 THEN s_name || ' House' WHEN 9 THEN CAST(s_nationkey AS VARCHAR(4)) || ' Main St' ELSE word END AS text,
+  CASE WHEN k = 12 THEN 5 END AS parent
+FROM supplier CROSS JOIN (VALUES (1), (2), (3)) AS p(page)
+  JOIN (VALUES (0, 2800, 250, 'DRAWING TITLE'), (1, 2790, 220, ''), (2, 2790, 200, ''), (3, 2800, 100, ''), (4, 2800, 140, 'Drawing Number'), (5, 2780, 700, 'Project Name:'), (6, 100, 700, 'project name'), (7, 2780, 650, ''), (8, 2790, 630, 'Owner: Smith'), (9, 2790, 610, ''),
+    (10, 2800, 590, 'second line'), (11, 2700, 570, 'beside'), (12, 2790, 560, 'inner'), (13, 2790, 200, 'tied')) AS t(k, x0, y0, word)
+    ON CASE k WHEN 0 THEN s_suppkey % 4 > 0 WHEN 2 THEN s_suppkey % 3 > 0 WHEN 5 THEN (s_suppkey + page) % 3 > 0 WHEN 8 THEN s_suppkey % 5 > 0 WHEN 13 THEN (s_suppkey + page) % 6 = 0 ELSE page > 0 END""",
     # one text for each part, crowded on short lines
     "v_scraps": """
 SELECT p_partkey AS id, CAST(floor(p_partkey / 200) AS BIGINT) AS page, substr(p_name, 1, 1 + p_size % 3) AS text, p_partkey % 7 <> 0 AS left_right,
