@@ -81,25 +81,32 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def contracted(links: DataFrame, turn: int) -> DataFrame:
+    """(node, parent): a node of its own component for each node of links (a, b), the same one for many of them.
+
+    Every node hooks to the smallest of itself and its neighbours in an order that is hashed anew in each turn, and then to what that one
+    hooks to.  Links between parents connect what the links connected.
+    """
+    order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("n"))
+    ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    hook = ends.groupBy("node").agg(F.min(order("other")).alias("o"), F.min(order("node")).alias("s")).select("node", F.least("o", "s")["n"].alias("parent"))
+    further = hook.select(F.col("node").alias("parent"), F.col("parent").alias("next"))
+    return stored(hook.join(further, "parent").select("node", F.col("next").alias("parent")), "hooks")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of links (a, b): the smallest node reachable either way.
 
-    Hooks every node to its smallest neighbour in a hashed order and contracts, so rounds follow the logarithm of the size
-    and not the longest path; nothing is collected.
+    Contracts the links until none is left, so rounds follow the logarithm of the size and not the longest path; nothing is collected.
     """
     links = stored(links.select("a", "b").filter(F.col("a").isNotNull() & F.col("b").isNotNull()), "links")
-    left, hooks, turn = links.filter(F.col("a") != F.col("b")).distinct(), [], 0
-    while True:
-        left = stored(left, "left")
-        if left.isEmpty():
-            break
-        turn += 1
-        order = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)), F.col(c).alias("n"))  # noqa: B023, E731
-        ends = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        hook = stored(ends.groupBy("node").agg(F.min(order("other")).alias("o"), F.min(order("node")).alias("s")).select("node", F.least("o", "s")["n"].alias("parent")), "hooks")
+    left, hooks = links.filter(F.col("a") != F.col("b")), []
+    while not left.isEmpty():
+        hook = contracted(left, len(hooks) + 1)
         hooks.append(hook)
         to = lambda c: hook.select(F.col("node").alias(c), F.col("parent").alias(f"{c}2"))  # noqa: B023, E731
-        left = left.join(to("a"), "a").join(to("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).filter(F.col("a") != F.col("b")).distinct()
+        moved = left.join(to("a"), "a").join(to("b"), "b").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
+        left = stored(moved.filter(F.col("a") != F.col("b")).distinct(), "left")
     nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().withColumn("root", F.col("node"))
     for hook in hooks:
         nodes = nodes.join(hook.select(F.col("node").alias("root"), "parent"), "root", "left").select("node", F.coalesce("parent", "root").alias("root"))

@@ -8,6 +8,7 @@ phrases of fractions and the texts level with them.  Every stage is written once
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,8 +84,10 @@ def activate(lines: DataFrame, glyphs: DataFrame, bars: DataFrame, templates: Da
     lines (page, id, x0, y0, x1, y1), glyphs (page, id, box, text, left_right, fontsize), bars as in `words.fractions`, templates as
     in `shapes.template_lines`.  Ids are distinct over pages.
     """
-    frames = stored(outline_parents(lines, on), "outlines")
-    made_words = stored(words.words(glyphs, on, allow_space=True), "words")
+    with ThreadPoolExecutor(2) as side:  # outlines do not wait for words
+        outlines_made = side.submit(lambda: stored(outline_parents(lines, on), "outlines"))
+        made_words = stored(words.words(glyphs, on, allow_space=True), "words")
+        frames = outlines_made.result()
     matched = words.fractions(made_words.select(*on, *words.NODE), bars, on)
     made = stored(words.fraction_nodes(made_words, bars, matched, on), "fractions")
     used = made.select(*on, F.explode(F.array("top", "low")).alias("id"))

@@ -11,7 +11,7 @@ from ..functions import geometry as g
 from ..functions import predicates as p
 from ..functions import texts as t
 from ..functions.geometry import Box
-from .graph import components, stored
+from .graph import components, contracted, stored
 from .spatial import intersection
 
 BOX = ["x0", "y0", "x1", "y1"]
@@ -157,6 +157,7 @@ def growing(nodes: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
     texts = nodes.filter(F.col("text").isNotNull())
     groups = stored(texts.select(*keys, "id", *BOX, (size / letters).alias("margin"), F.lit(True).alias("grew")), "groups")
     members = texts.select(*keys, F.col("id").alias("member"), F.col("id"))
+    turn = 0
     while True:
         mx, my = F.when(F.col("left_right"), F.col("margin")).otherwise(0.0), F.when(F.col("left_right"), 0.0).otherwise(F.col("margin"))
         wide = groups.select(*keys, "id", "grew", (F.col("x0") - mx).alias("x0"), (F.col("y0") - my).alias("y0"), (F.col("x1") + mx).alias("x1"), (F.col("y1") + my).alias("y1"))
@@ -164,13 +165,15 @@ def growing(nodes: DataFrame, on: Sequence[str] = ("page",)) -> DataFrame:
         links = stored(intersection(wide, groups.select(*keys, "id", "grew", *BOX), keys, extra=fresh).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")), "meet")
         if links.isEmpty():
             break
-        named = components(links).withColumnsRenamed({"node": "id", "component": "to"})
+        # groups merge as far as one contraction goes; what it leaves apart still meets in the next round
+        turn += 1
+        named = contracted(links, turn).withColumnsRenamed({"node": "id", "parent": "to"})
         joined = groups.join(named, "id", "left")
         merged = joined.groupBy(*keys, F.coalesce("to", "id").alias("id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.max("margin").alias("margin"), F.max(F.col("to").isNotNull()).alias("grew"))
         groups = stored(merged, "groups")
         members = stored(members.join(named, "id", "left").select(*keys, "member", F.coalesce("to", "id").alias("id")), "members")
     place = F.when(F.col("left_right"), F.col("x0")).otherwise(F.col("y0"))
     own = texts.select(*keys, F.col("id").alias("member"), F.struct(place.alias("at"), F.col("id").alias("i"), "text").alias("item"))
-    joined_texts = own.join(members, [*keys, "member"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    joined_texts = own.join(members, [*keys, "member"]).groupBy(*keys, "id").agg(F.array_sort(F.collect_list("item")).alias("items"), F.min("member").alias("first"))
     text = F.array_join(F.transform("items", lambda v: v["text"]), "")
-    return groups.join(joined_texts, [*keys, "id"]).select(*on, "id", text.alias("text"), F.size("items").cast("bigint").alias("n"), *BOX, "left_right")
+    return groups.join(joined_texts, [*keys, "id"]).select(*on, F.col("first").alias("id"), text.alias("text"), F.size("items").cast("bigint").alias("n"), *BOX, "left_right")

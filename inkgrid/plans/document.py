@@ -8,6 +8,7 @@ equi-joins by document and page (grid joins for boxes), so documents run side by
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -82,7 +83,8 @@ def compiled(kind: rules.RuleKind, elems: DataFrame, curves: DataFrame, library:
 
 def run(elems: DataFrame, curves: DataFrame, library: DataFrame, kinds: Sequence[rules.RuleKind] = rules.RULES) -> tuple[DataFrame, DataFrame]:
     """(rows of all schedules, elements found) of documents; a document without tables has neither."""
-    parts = [compiled(kind, elems, curves, library) for kind in kinds]
+    with ThreadPoolExecutor(len(kinds)) as side:  # the kinds' jobs run side by side
+        parts = list(side.map(lambda kind: compiled(kind, elems, curves, library), kinds))
     rows, found = parts[0]
     for more_rows, more_found in parts[1:]:
         rows, found = rows.unionByName(more_rows), found.unionByName(more_found)

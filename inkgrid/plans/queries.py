@@ -200,17 +200,16 @@ def _shape() -> Column:
 
 def _curves(spark: SparkSession, sf: str) -> DataFrame:
     v = view(spark, sf, "v_segments").withColumn("shape", _shape())
-    return shapes.curves(v, ["shape", "page"])
+    return graph.stored(shapes.curves(v, ["shape", "page"]), "curves")
 
 
-def _matches(spark: SparkSession, sf: str) -> DataFrame:
-    c = _curves(spark, sf)
+def _matches(c: DataFrame) -> DataFrame:
     return shapes.nearest_curves(c, c, "shape", "shape", 400.0, ["page"])
 
 
 @query(SHAPES + " SELECT shape, match_id, distance FROM best", "v_segments")
 def line_set_distance_top1(spark: SparkSession, sf: str) -> DataFrame:
-    return _matches(spark, sf).select("shape", "match_id", r6(F.col("distance")).alias("distance"))
+    return _matches(_curves(spark, sf)).select("shape", "match_id", r6(F.col("distance")).alias("distance"))
 
 
 @query(
@@ -219,8 +218,9 @@ def line_set_distance_top1(spark: SparkSession, sf: str) -> DataFrame:
     "v_segments",
 )
 def shape_group_division(spark: SparkSession, sf: str) -> DataFrame:
-    groups = _curves(spark, sf).select("shape", (F.floor(F.col("shape") / 1000000) * 100000 + F.floor(F.col("shape") % 1000000 / 3)).cast("bigint").alias("grp"))
-    close = _matches(spark, sf).filter(F.round("distance", 6) < 60).select("shape")
+    c = _curves(spark, sf)
+    groups = c.select("shape", (F.floor(F.col("shape") / 1000000) * 100000 + F.floor(F.col("shape") % 1000000 / 3)).cast("bigint").alias("grp"))
+    close = _matches(c).filter(F.round("distance", 6) < 60).select("shape")
     return shapes.whole_groups(close, groups, "grp", "shape")
 
 
