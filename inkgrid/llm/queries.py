@@ -88,5 +88,6 @@ ORACLE = {
     "op8_top_k": topk.top_k_sql(),
     "op10_mixing": mixing.plan_sql(),
     "op11_spelling_variants": spelling.variants_sql(),
+    "op12_periodic_runs": repeats.digest_sql(),
     "op13_fingerprints": spotsigs.compare_edited_sql(),
 }

@@ -284,3 +284,37 @@ def digest(docs: DataFrame) -> DataFrame:
         F.sha2(lines, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+#: Lengths that the SQL compares, in powers of two: enough for texts of fewer than 2**(SQL_LEVELS + 2) words.
+SQL_LEVELS = 14
+
+
+def digest_sql() -> str:
+    """`digest` of documents as DuckDB SQL.
+
+    Factors of length g = 1, 2, 4, ... get ranks by doubling.  Within a run of smallest period q, with q <= g < 2q, the next occurrence of
+    the factor at a position is q further on, so unbroken stretches of that distance are the runs.
+    """
+    levels = ["rank0 AS (SELECT doc_id, i, dense_rank() OVER (ORDER BY w) AS r FROM word)"]
+    for k in range(1, SQL_LEVELS):
+        g = 1 << (k - 1)
+        levels.append(f"rank{k} AS (SELECT a.doc_id, a.i, dense_rank() OVER (ORDER BY a.r, b.r) AS r FROM rank{k - 1} a JOIN rank{k - 1} b ON a.doc_id = b.doc_id AND b.i = a.i + {g})")
+    nexts = " UNION ALL ".join(f"SELECT doc_id, i, d, {1 << k} AS g FROM (SELECT doc_id, i, lead(i) OVER (PARTITION BY doc_id, r ORDER BY i) - i AS d FROM rank{k}) t WHERE d <= {1 << k} AND 2 * d > {1 << k}" for k in range(SQL_LEVELS))
+    return f"""WITH RECURSIVE steps AS (SELECT i AS byte, i::BIGINT AS v, 0 AS k FROM range(256) t(i)
+      UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM steps WHERE k < 8),
+    crc_table AS (SELECT list(v ORDER BY byte) AS tab FROM steps WHERE k = 8),
+    split AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: unicode(c)::BIGINT) AS bytes FROM documents),
+    hashed AS (SELECT doc_id, words, len(words) AS n, xor(list_reduce(list_prepend(4294967295::BIGINT, bytes), lambda c, x: xor(tab[1 + (xor(c, x) & 255)], c >> 8)), 4294967295::BIGINT) AS h FROM split, crc_table),
+    planned AS (SELECT *, h % 10 = 0 AND n > 0 AS loops, CASE WHEN n > 0 THEN h // 10 % n ELSE 0 END AS a, h // 10 % 8 AS e FROM hashed),
+    word AS MATERIALIZED (SELECT doc_id, i, words[1 + CASE WHEN loops AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + e)) ELSE i END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM planned) p),
+    {", ".join(x.replace(" AS (", " AS MATERIALIZED (", 1) for x in levels)},
+    near AS ({nexts}),
+    islands AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM near),
+    run AS MATERIALIZED (SELECT doc_id, min(i) AS start, max(i) - min(i) + d + any_value(g) AS length, d AS period FROM islands GROUP BY doc_id, d, island HAVING max(i) - min(i) + d + any_value(g) >= greatest({LEAST}, {PERIODS} * d)),
+    told AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM run GROUP BY doc_id),
+    top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS k FROM run) r WHERE k = 1),
+    gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+    kept AS (SELECT w.doc_id, string_agg(w, ' ' ORDER BY w.i) AS text FROM word w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, top.start, top.length, top.period, 1000 * top.length // top.period AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN told ON told.doc_id = d.doc_id LEFT JOIN top ON top.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
