@@ -71,8 +71,10 @@ def label_matches(labels: DataFrame, rules: DataFrame, by: Sequence[str] = ("pag
     texts = labels.select(*by, "id", "text", t.label_body(F.col("text")).alias("label"))
     equal = texts.join(literal.select(*by, "rule_id", F.col("row_id").alias("label")), [*by, "label"]).select(*by, "id", "rule_id", "label")
     pattern = some.filter(~t.is_literal(F.col("row_id"))).withColumn("pattern", t.label_pattern(F.col("row_id"), wildcard))
-    tried = texts.join(pattern.select(*by, "rule_id", "pattern"), list(by)).filter(F.expr("regexp_like(text, pattern)"))
-    return equal.unionByName(tried.select(*by, "id", "rule_id", F.expr("regexp_extract(text, pattern, 1)").alias("label"))).filter(F.col("label") != "")
+    # every different text of a page meets every different pattern once, however many labels and rules have them
+    tried = texts.select(*by, "text").distinct().join(pattern.select(*by, "pattern").distinct(), list(by)).filter(F.expr("regexp_like(text, pattern)"))
+    tried = tried.withColumn("label", F.expr("regexp_extract(text, pattern, 1)")).join(texts.select(*by, "id", "text"), [*by, "text"]).join(pattern.select(*by, "rule_id", "pattern"), [*by, "pattern"])
+    return equal.unionByName(tried.select(*by, "id", "rule_id", "label")).filter(F.col("label") != "")
 
 
 def near_label(matches: DataFrame, elems: DataFrame, reach: Column | float, by: Sequence[str] = ("page",)) -> DataFrame:

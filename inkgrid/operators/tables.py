@@ -51,8 +51,16 @@ def column_bands(dividers: DataFrame, tables: DataFrame, by: Sequence[str] = ("p
 
 
 def assigned(elems: DataFrame, bands: DataFrame, by: Sequence[str] = ("page",)) -> DataFrame:
-    """Elements with the column whose [left, right) holds their right end; others are left out."""
-    return elems.join(bands, list(by)).filter((F.col("x1") >= F.col("left")) & (F.col("x1") < F.col("right")))
+    """Elements with the column whose [left, right) holds their right end; others are left out.
+
+    Columns do not overlap, so an element's is the last one that begins at or before its end: one window over columns and elements, no
+    pairs of them.
+    """
+    by, rest = list(by), [c for c in bands.columns if c not in by]
+    both = elems.select(*by, F.col("x1").alias("_x"), F.lit(1).alias("_k"), F.struct("*").alias("_e")).unionByName(bands.select(*by, F.col("left").alias("_x"), F.lit(0).alias("_k"), F.struct(*rest).alias("_b")), allowMissingColumns=True)
+    order = Window.partitionBy(*by).orderBy("_x", "_k").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_last", F.last("_b", ignorenulls=True).over(order)).filter((F.col("_k") == 1) & (F.col("_x") < F.col("_last.right")))
+    return found.select("_e.*", *[F.col(f"_last.{c}").alias(c) for c in rest])
 
 
 def text_lines(elems: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -592,7 +592,7 @@ def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.readStream.schema(base(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-def _fed(spark: SparkSession, stream: DataFrame, key: str) -> DataFrame:
+def _fed(spark: SparkSession, stream: DataFrame, key: str | list[str]) -> DataFrame:
     """The table of a feed over the input at hand."""
     from ..streaming import feed
 

@@ -5,6 +5,7 @@ import pytest
 import inkgrid.plans.document  # noqa: F401  (registers its queries)
 import inkgrid.plans.pages  # noqa: F401
 import inkgrid.plans.scalars  # noqa: F401
+import inkgrid.plans.sources  # noqa: F401
 from inkgrid.plans.queries import ORACLE, QUERIES
 from inkgrid.plans.views import view
 
