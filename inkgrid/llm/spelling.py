@@ -205,10 +205,11 @@ def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", le
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(key[part].view(np.int64)), pa.array(place[part].astype(np.int64)), pa.array(ids[word[part]])], ["bucket", "key", "place", "id"])
 
     keys = words.select("id", "word").mapInArrow(keyed, "bucket long, key long, place long, id long")
-    meeting, _ = stored(keys.groupBy("bucket").applyInArrow(_meeting, keys.schema), "meeting")
+    meeting, path = stored(keys.groupBy("bucket").applyInArrow(_meeting, keys.schema), "meeting")
     fetched = meeting.select("bucket", "place", "id").join(words.select("id", "word", "n"), "id")
     told = fetched.groupBy("bucket").applyInArrow(_neighbours, "id long, n_near long, best_n long, best_id long")
     near, _ = stored(told.groupBy("id").agg(F.sum("n_near").alias("n_near"), F.max(F.struct("best_n", (-F.col("best_id")).alias("other"))).alias("best")).select("id", "n_near", "best.best_n", (-F.col("best.other")).alias("best_id")), "near")
+    removed(spark, path)
     forms = words.select("id", "n").join(near, "id").filter(F.col("best_n") >= factor * F.col("n")).select("id", F.col("best_id").alias("form"), F.col("best_n").alias("form_n"))
     roots = _roots(forms)
     names = words.select("id", "word")
