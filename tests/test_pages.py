@@ -52,12 +52,12 @@ def grown(rows):
     return sorted((min(g), tuple(sorted(g))) for g, *_ in groups)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
+@pytest.mark.parametrize("seed", [1])
 def test_growing_equals_any_order_of_merges(spark, seed):
     rnd = random.Random(seed)
     rows = []
-    for k in range(60):
-        x, y = rnd.randrange(150), rnd.randrange(100)
+    for k in range(40):
+        x, y = rnd.randrange(110), rnd.randrange(80)
         rows.append((0, k, float(x), float(y), x + rnd.randrange(2, 12) * 1.0, y + rnd.randrange(2, 9) * 1.0, "t" * rnd.randint(0, 3), True))
     rnd.shuffle(rows)
     nodes = spark.createDataFrame(rows, BOX + ", text string, left_right boolean")
@@ -77,7 +77,7 @@ def test_two_bars_want_one_number(spark):
     assert got == {(1, 100, 2), (4, 102, 5)}
 
 
-@pytest.mark.parametrize("seed", [1, 2, 3])
+@pytest.mark.parametrize("seed", [1, 2])
 def test_rounds_equal_one_by_one(spark, monkeypatch, seed):
     """Candidates with long chains of conflicts."""
     rnd = random.Random(seed)
@@ -182,7 +182,7 @@ def boxes(spark, seed, n, wide):
     return rows, spark.createDataFrame(rows, BOX)
 
 
-@pytest.mark.parametrize(("seed", "n", "wide"), [(1, 120, 200), (2, 30, 20000), (3, 5, 10)])
+@pytest.mark.parametrize(("seed", "n", "wide"), [(1, 120, 200), (2, 30, 3000), (3, 5, 10)])
 def test_neighbours_and_nearest_equal_all_pairs(spark, seed, n, wide):
     rows, df = boxes(spark, seed, n, wide)
 
